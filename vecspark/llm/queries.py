@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
+from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
 
 QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
 }
 
