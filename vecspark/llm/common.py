@@ -149,3 +149,22 @@ def words_of(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     stop[cut_at] |= inside[cut_at]
     ends = np.flatnonzero(stop)
     return starts, ends - starts, np.searchsorted(starts, offsets)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package as an archive, where neither PYTHONPATH nor the working folder has it."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    found = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd()]
+    if str(root) in found or getattr(sc, "_vecspark_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="vecspark-")) / "vecspark_package.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for path in sorted(root.joinpath("vecspark").rglob("*.py")):
+            z.write(path, path.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._vecspark_shipped = True

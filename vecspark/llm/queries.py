@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import functools
+
+from vecspark.llm.common import ship_package
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
+from vecspark.llm.token_files import op6_token_files
+
+
+def _shipped(query):
+    @functools.wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
 
-QUERIES = {
+_QUERIES = {
     "op4_sentencepiece": op4_sentencepiece,
+    "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
 }
+QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL = {
     "op9_mixing": OP9_SQL,
