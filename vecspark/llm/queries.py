@@ -9,6 +9,7 @@ from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
 from vecspark.llm.token_files import op6_token_files
+from vecspark.llm.toxicity import op1_toxicity
 
 
 def _shipped(query):
@@ -21,6 +22,7 @@ def _shipped(query):
 
 
 _QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
