@@ -32,9 +32,9 @@ from vecspark.llm.labelled import fold, training_rows
 
 PARTS, HELD = 4, 2
 THRESHOLD = 0.3
-TRAIN_PER_CLASS = 8_000  # bound of the labelled sample, for each class
+TRAIN_PER_CLASS = 4_000  # bound of the labelled sample, for each class
 MAX_LEXICON = 4_096
-STEM_LENGTHS = (4, 5, 6)
+STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9, 10)
 MIN_GAIN = 14.0  # log-likelihood ratio that a learned word needs
 MIN_CONTEXTS = 4
 MEMO_WORDS = 1_000_000
@@ -222,7 +222,8 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     stems = [F.when(F.length("word") > n, F.concat(F.substring("word", 1, n), F.lit("*"))) for n in STEM_LENGTHS]
     # of toxic rows all words are counted; of the others then only those that toxic rows have often
     toxic = rows.where("y = 1").withColumn("f", F.explode(F.array_compact(F.array("word", *stems))))
-    toxic = toxic.groupBy("f").agg(F.count_distinct("doc_id").alias("docs"), F.count_distinct("context").alias("contexts")).where((F.col("docs") >= 3) & (F.col("contexts") >= MIN_CONTEXTS))
+    toxic = toxic.groupBy("f", "context").agg(F.min("doc_id").alias("doc_id"))  # a context that copies share counts for one of them
+    toxic = toxic.groupBy("f").agg(F.count_distinct("doc_id").alias("docs"), F.count(F.lit(1)).alias("contexts")).where((F.col("docs") >= 3) & (F.col("contexts") >= MIN_CONTEXTS))
     totals = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     if not totals.get(0) or not totals.get(1):
         return Lexicon(seed, {})
