@@ -6,6 +6,7 @@ import functools
 
 from vecspark.llm.common import ship_package
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
+from vecspark.llm.quality import op5_quality
 from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
 from vecspark.llm.token_files import op6_token_files
@@ -24,6 +25,7 @@ def _shipped(query):
 _QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
