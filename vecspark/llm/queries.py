@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 
 from vecspark.llm.common import ship_package
+from vecspark.llm.html_extract import op10_html
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.quality import op5_quality
 from vecspark.llm.simhash import op7_simhash
@@ -29,6 +30,7 @@ _QUERIES = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op9_mixing": op9_mixing,
+    "op10_html": op10_html,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
