@@ -6,6 +6,7 @@ import functools
 
 from vecspark.llm.common import ship_package
 from vecspark.llm.html_extract import op10_html
+from vecspark.llm.minhash import op8_minhash
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.quality import op5_quality
 from vecspark.llm.simhash import op7_simhash
@@ -29,6 +30,7 @@ _QUERIES = {
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
+    "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
 }
