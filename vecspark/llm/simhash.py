@@ -10,7 +10,7 @@ the radius agree in all bits of at least one such choice, so the search is exact
 
 Edge cases: a null text counts as empty; a text without words has fingerprint 0; equal texts have equal fingerprints;
 rows that repeat a doc_id share the next document, which is the least text of the next larger doc_id, and each gives
-a row; a null doc_id comes before all others; the only document of a table follows itself; an empty table gives an
+a row; a null doc_id comes before all others (and stands for the smallest long); the only document of a table follows itself; an empty table gives an
 empty result. Weights of up to 2**31 per text (some 100 million words) are exact. Extra columns are ignored.
 """
 
@@ -126,32 +126,32 @@ def succession(docs: DataFrame) -> DataFrame:
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
     key = F.coalesce(F.col("doc_id"), F.lit(FIRST_KEY).cast("long"))
-    rows = docs.select(key.alias("k"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))  # the same columns on both sides, so that one exchange of texts serves them
     order = cut(succession(docs))
     rows = rows.join(order.select("k", "prev_k", "prev_n"), "k")
     # what a document takes of the next one is at most this head, so whole texts travel once
     heads = rows.groupBy("k").agg(F.min(F.struct("text", "prev_k", "prev_n")).alias("x"))
     heads = heads.select(F.col("x.prev_k").alias("k"), F.xxhash64("x.text").alias("next_row"), F.expr("substring(x.text, 1, cast(x.prev_n div 2 as int))").alias("head"))
-    rows = rows.select("k", "doc_id", "text", F.length("text").alias("n")).join(heads, "k")
+    rows = rows.select("k", "text", F.length("text").alias("n")).join(heads, "k")
     rows = rows.withColumn("half", F.expr("n div 2").cast("int"))
     rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, n - half)"), F.expr("substring(head, 1, half)")))
     rows = rows.select(
-        "k", F.col("n").cast("long").alias("n_chars"), F.xxhash64("text").alias("row"), F.sha2("edited", 256).alias("edited_sha256"), "doc_id", "next_row", words(F.col("text")).alias("a"), words(F.col("edited")).alias("b")
+        "k", F.col("n").cast("long").alias("n_chars"), F.xxhash64("text").alias("row"), F.sha2("edited", 256).alias("edited_sha256"), "next_row", words(F.col("text")).alias("a"), words(F.col("edited")).alias("b")
     )
-    rows = rows.select("k", "doc_id", "row", "next_row", "n_chars", "edited_sha256", F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("pos", "term"))
+    rows = rows.select("k", "row", "next_row", "n_chars", "edited_sha256", F.size("a").alias("n_a"), F.posexplode(F.concat("a", "b")).alias("pos", "term"))
     own = F.col("pos") < F.col("n_a")
     (own_lanes, own_w), (new_lanes, new_w) = vote_sums(F.col("term"), own), vote_sums(F.col("term"), ~own)
-    votes = rows.groupBy("k", "doc_id", "row", "next_row", "n_chars", "edited_sha256").agg(
+    votes = rows.groupBy("k", "row", "next_row", "n_chars", "edited_sha256").agg(
         *[x.alias(f"a{i}") for i, x in enumerate(own_lanes)], *[x.alias(f"b{i}") for i, x in enumerate(new_lanes)],
         own_w.alias("a_w"), new_w.alias("b_w"), F.sum(F.when(F.col("pos") == 0, 1).otherwise(0)).alias("n_rows"),
     )
     fp = lambda p: fingerprint([F.col(f"{p}{i}") for i in range(LANES)], F.col(f"{p}_w"))
-    out = cut(votes.select("k", "doc_id", "n_chars", "edited_sha256", "row", "next_row", fp("a").alias("fp"), fp("b").alias("edited_fp"), "n_rows"))
+    out = cut(votes.select("k", "n_chars", "edited_sha256", "row", "next_row", fp("a").alias("fp"), fp("b").alias("edited_fp"), "n_rows"))
     # the next document's fingerprint: of rows that repeat a doc_id, that of the text whose head was taken
     texts = out.select(F.col("k").alias("next_k"), F.col("row").alias("next_row"), F.col("fp").alias("next_fp")).distinct()
     out = out.join(order.select("k", "next_k"), "k").join(texts, ["next_k", "next_row"])
     out = out.select(
-        "doc_id", "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
+        F.when(F.col("k") != FIRST_KEY, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("copy"),
     )
