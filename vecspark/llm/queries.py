@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+import corpus_pipeline
+
 from vecspark.llm.common import ship_package
 from vecspark.llm.html_extract import op10_html
 from vecspark.llm.minhash import op8_minhash
@@ -11,6 +13,7 @@ from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.quality import op5_quality
 from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
+from vecspark.llm.substring_dedup import op2_substring
 from vecspark.llm.token_files import op6_token_files
 from vecspark.llm.toxicity import op1_toxicity
 
@@ -26,6 +29,7 @@ def _shipped(query):
 
 _QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring": op2_substring,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
@@ -33,6 +37,7 @@ _QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
+    "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
