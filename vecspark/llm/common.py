@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -78,15 +79,16 @@ def binaries(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenated index ranges starts[i] .. starts[i] + lengths[i]."""
     total = int(lengths.sum())
-    out = np.ones(total, np.int64)
-    keep = lengths > 0
-    starts, lengths = starts[keep], lengths[keep]
+    kind = np.int32 if total < 1 << 31 and (not starts.size or int(starts.max()) + int(lengths.max()) < 1 << 31) else np.int64
     if not total:
-        return np.empty(0, np.int64)
+        return np.empty(0, kind)
+    keep = lengths > 0
+    if not keep.all():
+        starts, lengths = starts[keep], lengths[keep]
+    out = np.ones(total, kind)
     out[0] = starts[0]
-    ends = np.cumsum(lengths)[:-1]
-    out[ends] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
-    return np.cumsum(out)
+    out[np.cumsum(lengths)[:-1]] = starts[1:] - (starts[:-1] + lengths[:-1] - 1)
+    return np.cumsum(out, dtype=kind, out=out)
 
 
 _POWERS = np.ones(1, np.uint64)
@@ -130,7 +132,9 @@ def distinct_spans(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray)
     """(index of a representative of each distinct span, number of its representative for each span); exact."""
     hashes = span_hashes(values, starts, lengths)
     while True:
-        _, rep, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        inverse, unique = pd.factorize(hashes)
+        rep = np.empty(len(unique), np.int64)
+        rep[inverse[::-1]] = np.arange(inverse.size - 1, -1, -1)  # the first one stays
         own, other = ragged(starts, lengths), ragged(starts[rep][inverse], np.minimum(lengths, lengths[rep][inverse]))
         if own.size == other.size and (lengths == lengths[rep][inverse]).all() and (values[own] == values[other]).all():
             return rep, inverse

@@ -32,8 +32,9 @@ from vecspark.llm.common import binaries, distinct_spans, mix64, ragged, shared_
 END_ID = 1
 NULL_KEY = -(2**63)
 BUCKET_KEYS = 65_536
-CONTAINER_BYTES = 8 << 20
-MEMO_UNITS = 1_000_000  # of a worker; about 150 MB
+CONTAINER_BYTES = 4 << 20
+MEMO_UNITS = 600_000  # of a worker; about 100 MB
+ENCODE_UNITS = 16_384  # in one call of the library
 CHUNKS = 1 << 24  # containers of a partition at most
 CONTAINERS = "container long, part int, n_docs long, n_tokens long, keys binary, lengths binary, payload binary"
 INDEX = "bucket long, n_keys long, level_bits binary, levels binary, prints binary, ordinals binary, counts binary"
@@ -91,15 +92,30 @@ class WordEncoder:
         if len(self.memo) + len(units) > MEMO_UNITS:
             self.memo, self.ids, self.at = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
         new = [u for u in units if u not in self.memo]
+        ids, counts = [self.ids], [np.diff(self.at)]
+        for a in range(0, len(new), ENCODE_UNITS):
+            some = new[a : a + ENCODE_UNITS]
+            got = self.tokenizer.encode([u.decode() for u in some], is_pretokenized=True, add_special_tokens=False)
+            self.memo.update(zip(some, range(len(self.memo), len(self.memo) + len(some))))
+            ids.append(np.array(got.ids, np.uint32))
+            counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
         if new:
-            got = self.tokenizer.encode([u.decode() for u in new], is_pretokenized=True, add_special_tokens=False)
-            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(new))
-            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new))))
-            self.ids = np.append(self.ids, np.array(got.ids, np.uint32))
-            self.at = np.append(self.at, self.at[-1] + np.cumsum(n))
+            self.ids, self.at = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
         return np.fromiter(map(self.memo.__getitem__, units), np.int64, len(units))
 
 
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def worker_encoder(spec: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker, so that its memo serves them all."""
+    key = zlib.crc32(spec.encode())
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = WordEncoder(spec)
+    return _ENCODERS[key]
+
+
 def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = END_ID) -> None:
     """Write docs (doc_id, text) as containers to path, in ascending doc_id order."""
     from tokenizers import Tokenizer
@@ -108,7 +124,7 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = END_ID) ->
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # a file of some MB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(shared.value)
+        encoder = worker_encoder(shared.value)
         part = TaskContext.get().partitionId()
         for chunk, batch in enumerate(slices(batches, "text", CONTAINER_BYTES)):
             ids, offsets = encoder.batch(batch.column("text"))
