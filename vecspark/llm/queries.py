@@ -6,6 +6,7 @@ import functools
 
 import corpus_pipeline
 
+from vecspark.llm.bit_sliced import OP3_SQL, op3_top_k
 from vecspark.llm.common import ship_package
 from vecspark.llm.html_extract import op10_html
 from vecspark.llm.minhash import op8_minhash
@@ -30,6 +31,7 @@ def _shipped(query):
 _QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring": op2_substring,
+    "op3_top_k": op3_top_k,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
@@ -42,5 +44,6 @@ _QUERIES = {
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL = {
+    "op3_top_k": OP3_SQL,
     "op9_mixing": OP9_SQL,
 }
