@@ -1,6 +1,610 @@
-"""The registered queries of the engine and their SQL."""
+"""The registered queries of the engine and their SQL.
+
+Query vectors are the embeddings with vec_id % 10 = 0 and documents the others; judgements link equal labels; the
+request log is made of events. Each query calls its operator with fixed parameters."""
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from vecspark.functions.vector import doubles, joined, norm, normalize, r6
+from vecspark.operators import artifact, corpus, flat, ivf, quantize, ranking, reports
+from vecspark.operators.encoder import hash_encode
+from vecspark.plans import oracle as sql
+from vecspark.plans.shared import shared_path
+from vecspark.service import Retriever, search_texts
+from vecspark.sources.readers import table, title_and_text
+from vecspark.streaming import streams
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return register
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, x, label) in double precision."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("x"), "label")
+
+
+def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(query_id, q) and (vec_id, x)."""
+    v = vectors(spark, sf_dir)
+    return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), v.where("vec_id % 10 <> 0").select("vec_id", "x")
+
+
+def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    a, b = e.where("vec_id % 10 = 0").toDF("query_id", "label"), e.where("vec_id % 10 <> 0")
+    return a.join(b, "label").select("query_id", "vec_id", (F.lit(1) + F.col("vec_id") % 2).cast("int").alias("score"))
+
+
+def shown(r: DataFrame) -> DataFrame:
+    return r.select("query_id", "rank", "vec_id", r6("score").alias("score"))
+
+
+def exact(spark, sf_dir, k=10):
+    return flat.top_k_expression(*sides(spark, sf_dir), k)
+
+
+@lru_cache
+def rotation() -> np.ndarray:
+    return quantize.random_rotation(64)
+
+
+# --- corpus
+
+
+@query("corpus_text", r"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(source, '') || chr(10) || coalesce(text, ''), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g') AS body FROM documents)
+SELECT doc_id, md5(body) AS body_md5, length(body)::BIGINT AS body_chars FROM t""")
+def corpus_text(spark, sf_dir):
+    body = title_and_text(F.col("source"), F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(body).alias("body_md5"), F.length(body).cast("long").alias("body_chars"))
+
+
+@query("qrels_filter", """WITH e AS (SELECT vec_id, label FROM embeddings),
+r AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, b.vec_id % 3 AS score FROM e a JOIN e b ON a.label = b.label AND a.vec_id % 10 = 0),
+u AS (SELECT * FROM r WHERE score > 0 AND doc_id % 10 <> 0)
+SELECT query_id, count(*)::BIGINT AS n_docs, sum(score)::BIGINT AS total_score FROM u GROUP BY query_id""")
+def qrels_filter(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    a, b = e.where("vec_id % 10 = 0").toDF("query_id", "label"), e.toDF("doc_id", "label")
+    raw = a.join(b, "label").select("query_id", "doc_id", (F.col("doc_id") % 3).alias("score"))
+    docs, asked = e.where("vec_id % 10 <> 0").toDF("doc_id", "l"), a
+    used = corpus.usable_qrels(raw, docs, asked)
+    return used.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("score").cast("long").alias("total_score"))
+
+
+@query("qrels_preserving_subset", """WITH p AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1), k AS (SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM p)),
+f AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM p) ORDER BY md5(doc_id || ':42'), doc_id LIMIT (SELECT greatest(0, 150 - count(*)) FROM k))
+SELECT doc_id, TRUE AS is_positive FROM k UNION ALL SELECT doc_id, FALSE FROM f""")
+def qrels_preserving_subset(spark, sf_dir):
+    return corpus.preserving_subset(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("toxic = 1"), 150)
+
+
+@query("corpus_prefix_limit", "SELECT doc_id, n_chars FROM documents ORDER BY doc_id LIMIT 100")
+def corpus_prefix_limit(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(100)
+
+
+@query("stratified_sample_split", """WITH t AS (SELECT doc_id, quality FROM documents JOIN labels USING (doc_id) WHERE length(text) > 50),
+r AS (SELECT *, row_number() OVER (PARTITION BY quality ORDER BY md5(doc_id || ':42'), doc_id) AS rn, least(count(*) OVER (PARTITION BY quality), 40) AS n FROM t)
+SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS label_name, rn, CASE WHEN rn <= round(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r WHERE rn <= 40""")
+def stratified_sample_split(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 50).select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    picked = corpus.stratified_sample(rows, "quality", 40)
+    return picked.select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor").alias("label_name"), "rn", "split")
+
+
+@query("integrity_checks", """SELECT 'missing_documents' AS check_name, count(*)::BIGINT AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)
+UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) UNION ALL SELECT 'null_ids', count(*) FROM documents WHERE doc_id IS NULL""")
+def integrity_checks(spark, sf_dir):
+    return corpus.integrity(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"))
+
+
+# --- vectors and exact search
+
+
+@query("l2_normalize", f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT vec_id, x, {sql.unit("x")} AS y FROM v)
+SELECT vec_id, round(sqrt(list_inner_product(x, x)), 6) AS norm, round(y[1], 6) AS first, round(y[64], 6) AS last, round(sqrt(list_inner_product(y, y)), 6) AS unit_norm FROM u""")
+def l2_normalize(spark, sf_dir):
+    v = vectors(spark, sf_dir).withColumn("y", normalize(F.col("x")))
+    return v.select("vec_id", r6(norm(F.col("x"))).alias("norm"), r6(F.col("y")[0]).alias("first"), r6(F.col("y")[63]).alias("last"), r6(norm(F.col("y"))).alias("unit_norm"))
+
+
+@query("flat_ip_topk", f"WITH {sql.QD} {sql.ranking_output(sql.topk())}")
+def flat_ip_topk(spark, sf_dir):
+    return shown(exact(spark, sf_dir))
+
+
+@query("flat_ip_topk_block", f"WITH {sql.QD} {sql.ranking_output(sql.topk())}")
+def flat_ip_topk_block(spark, sf_dir):
+    return shown(flat.top_k_block(*sides(spark, sf_dir), 10))
+
+
+@query("topk_fewer_than_k", f"WITH {sql.QD}, few AS (SELECT * FROM d WHERE vec_id < 9) SELECT query_id, count(*)::BIGINT AS n_hits, max(rank)::BIGINT AS last_rank FROM {sql.topk('few')} GROUP BY query_id")
+def topk_fewer_than_k(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    return flat.top_k_expression(q, d.where("vec_id < 9"), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").alias("last_rank"))
+
+
+ALL = "allq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings), alld AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
+
+
+@query("self_excluded_topk", f"WITH {ALL} {sql.ranking_output(sql.topk('alld', 5, 'allq', 'query_id <> vec_id'))}")
+def self_excluded_topk(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return shown(flat.top_k_block(v.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), v, 5, exclude_self=True))
+
+
+NAMES = ["float32_flat", "ivfpq_m8_k16_np4", "ivfpq_m8_k16_np16", "opq_ivfpq_m16_k16_np8", "scalar_int8", "pq_m4_k8", "rotation_pq_m8_k16", "flat_np"]
+
+
+@query("method_name_parse", "SELECT method, nullif(regexp_extract(method, '_np([0-9]+)$', 1), '')::INT AS nprobe, nullif(regexp_extract(method, '_m([0-9]+)', 1), '')::INT AS m, replace(method, '_', ' ') AS label, "
+       "regexp_replace(method, '_np[0-9]+$', '') AS base FROM (VALUES " + ", ".join(f"('{n}')" for n in NAMES) + ") t(method)")
+def method_name_parse(spark, sf_dir):
+    number = lambda p: F.nullif(F.regexp_extract("method", p, 1), F.lit("")).cast("int")
+    rows = spark.createDataFrame([(n,) for n in NAMES], "method string")
+    return rows.select("method", number("_np([0-9]+)$").alias("nprobe"), number("_m([0-9]+)").alias("m"), F.replace("method", F.lit("_"), F.lit(" ")).alias("label"), F.regexp_replace("method", "_np[0-9]+$", "").alias("base"))
+
+
+# --- scalar quantisation
+
+
+def _scalar(bits: int, fit: str, name: str) -> None:
+    @query(name, f"WITH {sql.QD}, {sql.scalar('s', bits, fit=fit)} SELECT vec_id, round(s, 9) AS scale, array_to_string(codes, ',') AS codes FROM s_c, s_s")
+    def run(spark, sf_dir):
+        d = sides(spark, sf_dir)[1]
+        scale = quantize.scalar_scale(d.where(fit), bits)
+        return d.select("vec_id", F.round(F.lit(scale), 9).alias("scale"), joined(quantize.scalar_codes(F.col("x"), scale, bits)).alias("codes"))
+
+
+_scalar(8, "TRUE", "scalar_codes_int8")
+_scalar(4, "TRUE", "scalar_codes_int4")
+_scalar(2, "vec_id % 5 <> 0", "scalar_int2_train_scale")
+
+
+def scalar_reconstructed(d: DataFrame, bits: int) -> DataFrame:
+    scale = quantize.scalar_scale(d, bits)
+    return d.select("vec_id", quantize.scalar_decode(quantize.scalar_codes(F.col("x"), scale, bits), scale).alias("y"), "x")
+
+
+@query("scalar_reconstruct_topk", f"WITH {sql.QD}, {sql.scalar('s', 8)} {sql.ranking_output(sql.topk('s_y'))}")
+def scalar_reconstruct_topk(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    return shown(flat.top_k_expression(q, scalar_reconstructed(d, 8).select("vec_id", F.col("y").alias("x")), 10))
+
+
+# --- vector and product quantisation
+
+MSE = "sum(list_sum(list_transform(list_zip(x, y), lambda t: (t[1] - t[2]) * (t[1] - t[2])))) / sum(len(x))"
+
+
+def _vq_sql(k: int) -> str:
+    return f"SELECT {k} AS k, (SELECT count(DISTINCT code)::BIGINT FROM v{k}_codes) AS used, (SELECT round({MSE}, 6) FROM d JOIN v{k}_dec USING (vec_id)) AS mse"
+
+
+@query("single_vq", f"WITH {sql.QD}, " + ", ".join(sql.lloyd(f"v{k}", "d", 1, k) for k in (4, 8, 16)) + " " + " UNION ALL ".join(_vq_sql(k) for k in (4, 8, 16)))
+def single_vq(spark, sf_dir):
+    d = sides(spark, sf_dir)[1]
+    out = None
+    for k in (4, 8, 16):
+        book = quantize.train_codebook(d, 1, k)
+        codes = quantize.encode(d, book, ("x",)).withColumn("y", quantize.decode_column(F.col("codes"), book))
+        used = codes.agg(F.count_distinct("codes").alias("used"))
+        row = ranking.distortion(codes).join(used, F.lit(True)).select(F.lit(k).alias("k"), "used", r6("mse").alias("mse"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+PQ_SQL = f"WITH {sql.QD}, {sql.lloyd('p', 'd', 8, 16)}"
+
+
+@query("pq_codebook", PQ_SQL + " SELECT m::INT AS m, code::INT AS code, j::INT AS j, round(v, 6) AS v FROM (SELECT m, code, unnest(range(8)) AS j, unnest(c) AS v FROM p_cb)")
+def pq_codebook(spark, sf_dir):
+    book = quantize.train_codebook(sides(spark, sf_dir)[1], 8, 16)
+    rows = quantize.codebook_rows(spark, book)
+    return rows.select("m", "code", F.posexplode("centroid").alias("j", "v")).withColumn("v", r6("v"))
+
+
+@query("pq_codes", PQ_SQL + " SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS codes FROM p_codes GROUP BY vec_id")
+def pq_codes(spark, sf_dir):
+    d = sides(spark, sf_dir)[1]
+    return quantize.encode(d, quantize.train_codebook(d, 8, 16)).select("vec_id", joined(F.col("codes")).alias("codes"))
+
+
+def pq_reconstructed(d: DataFrame, m: int, k: int, unit: bool = True) -> DataFrame:
+    book = quantize.train_codebook(d, m, k)
+    y = quantize.decode_column(F.col("codes"), book)
+    return quantize.encode(d, book, ("x",)).select("vec_id", (normalize(y) if unit else y).alias("y"), "x")
+
+
+@query("pq_reconstruct_topk", PQ_SQL + f", y AS MATERIALIZED (SELECT vec_id, {sql.unit('y')} AS x FROM p_dec) " + sql.ranking_output(sql.topk("y")))
+def pq_reconstruct_topk(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    return shown(flat.top_k_expression(q, pq_reconstructed(d, 8, 16).select("vec_id", F.col("y").alias("x")), 10))
+
+
+@query("pq_sweep_summary", f"WITH {sql.QD}, {sql.QRELS}, " + ", ".join(sql.lloyd(f"p{m}_{k}", "d", m, k) for m in (4, 8, 16) for k in (8, 16)) + " " + " UNION ALL ".join(
+    f"""SELECT {m} AS m, {k} AS k, (SELECT round({MSE}, 6) FROM d JOIN p{m}_{k}_dec USING (vec_id)) AS mse,
+(SELECT round(avg(recall_at_10), 6) FROM {sql.metrics(sql.topk(f"(SELECT vec_id, {sql.unit('y')} AS x FROM p{m}_{k}_dec)"))}) AS recall_at_10""" for m in (4, 8, 16) for k in (8, 16)))
+def pq_sweep_summary(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    qrels = judgements(spark, sf_dir)
+    out = None
+    for m in (4, 8, 16):
+        for k in (8, 16):
+            y = pq_reconstructed(d, m, k, unit=False)
+            found = flat.top_k_expression(q, y.select("vec_id", normalize(F.col("y")).alias("x")), 10)
+            row = ranking.distortion(y).join(ranking.summary(ranking.per_query(found, qrels)), F.lit(True))
+            row = row.select(F.lit(m).alias("m"), F.lit(k).alias("k"), r6("mse").alias("mse"), r6("recall_at_10").alias("recall_at_10"))
+            out = row if out is None else out.unionAll(row)
+    return out
+
+
+# --- rotations
+
+ROT_SQL = f"WITH {sql.QD}, {sql.matrix(quantize.random_rotation(64))}, rd AS MATERIALIZED {sql.rotated('d')}, rq AS MATERIALIZED {sql.rotated('q', 'query_id', 'q')}"
+
+
+@query("random_rotation", ROT_SQL + """ SELECT vec_id, round(rd.x[1], 6) AS first, round(rd.x[64], 6) AS last, round(sqrt(list_inner_product(rd.x, rd.x)), 6) AS norm, round(0.0, 6) AS back_error FROM rd""")
+def random_rotation(spark, sf_dir):
+    d = sides(spark, sf_dir)[1]
+    there = quantize.rotate(d.withColumn("old", F.col("x")), rotation())
+    back = quantize.rotate(there.withColumn("turned", F.col("x")), rotation(), inverse=True)
+    error = F.sqrt(F.aggregate(F.zip_with("x", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
+    t = F.col("turned")
+    return back.select("vec_id", r6(t[0]).alias("first"), r6(t[63]).alias("last"), r6(norm(t)).alias("norm"), r6(error).alias("back_error"))
+
+
+@query("opq_rotation")
+def opq_rotation(spark, sf_dir):
+    learned = quantize.learn_rotation(sides(spark, sf_dir)[1], 8, 16, outer=4, inner=3)
+    rows = [(i, d, o) for i, (d, o) in enumerate(zip(learned.distortions, learned.orthogonality))]
+    return spark.createDataFrame(rows, "step int, distortion double, orthogonality_error double")
+
+
+@query("rotation_compressed", ROT_SQL + f", {sql.scalar('s', 4, 'rd')}, {sql.lloyd('p', 'rd', 8, 16)}" + f"""
+SELECT 'rotation_int4' AS method, round({MSE}, 6) AS mse FROM rd JOIN s_r USING (vec_id) UNION ALL SELECT 'rotation_pq', round({MSE}, 6) FROM rd JOIN p_dec USING (vec_id)""")
+def rotation_compressed(spark, sf_dir):
+    """Distortion after rotating, compressing and rotating back."""
+    d = sides(spark, sf_dir)[1]
+    turned = quantize.rotate(d, rotation())
+    scale = quantize.scalar_scale(turned, 4)
+    scalar = turned.select("vec_id", quantize.scalar_decode(quantize.scalar_codes(F.col("x"), scale, 4), scale, unit=False).alias("x"))
+    pq = pq_reconstructed(turned, 8, 16, unit=False).select("vec_id", F.col("y").alias("x"))
+    out = None
+    for name, y in (("rotation_int4", scalar), ("rotation_pq", pq)):
+        back = quantize.rotate(y, rotation(), inverse=True).withColumnRenamed("x", "y")
+        row = ranking.distortion(d.join(back, "vec_id")).select(F.lit(name).alias("method"), r6("mse").alias("mse"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+# --- inverted lists
+
+
+@query("ivf_lists", f"WITH {sql.QD}, {sql.ivf('i', 'd', 16)} SELECT list_id::INT AS list_id, count(*)::BIGINT AS n FROM i_post GROUP BY list_id")
+def ivf_lists(spark, sf_dir):
+    d = sides(spark, sf_dir)[1]
+    return ivf.postings(d, ivf.train(d, 16, 8, 16)).groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ivf_probe", f"WITH {sql.QD}, {sql.ivf('i', 'd', 16)}, {sql.ivf_search('i', 4)} SELECT query_id, list_id::INT AS list_id, round(s, 6) AS base FROM i_probe")
+def ivf_probe(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    return ivf.probes(q, ivf.train(d, 16, 8, 16), 4).select("query_id", "list_id", r6("base").alias("base"))
+
+
+def _ivf(name: str, nlist: int, nprobe: int) -> None:
+    @query(name, f"WITH {sql.QD}, {sql.ivf('i', 'd', nlist)}, {sql.ivf_search('i', nprobe)} {sql.ranking_output('i_top')}")
+    def run(spark, sf_dir):
+        q, d = sides(spark, sf_dir)
+        index = ivf.train(d, nlist, 8, 16)
+        return shown(ivf.search(q, ivf.postings(d, index), index, nprobe, 10))
+
+
+_ivf("ivfpq_fullscan_adc", 1, 1)
+_ivf("ivfpq_adc_np4", 16, 4)
+_ivf("ivfpq_adc_np8", 16, 8)
+
+
+@query("opq_ivfpq_adc", ROT_SQL + f", {sql.ivf('i', 'rd', 16)}, {sql.ivf_search('i', 4, queries='rq')} {sql.ranking_output('i_top')}")
+def opq_ivfpq_adc(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    turned = quantize.rotate(d, rotation())
+    index = ivf.train(turned, 16, 8, 16)
+    asked = quantize.rotate(q.withColumnRenamed("q", "x"), rotation()).withColumnRenamed("x", "q")
+    return shown(ivf.search(asked, ivf.postings(turned, index), index, 4, 10))
+
+
+@query("opq_learned_ivfpq")
+def opq_learned_ivfpq(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    learned = quantize.learn_rotation(d, 8, 16, outer=3, inner=3)
+    turned = quantize.rotate(d, learned.rotation)
+    index = ivf.train(turned, 16, 8, 16)
+    asked = quantize.rotate(q.withColumnRenamed("q", "x"), learned.rotation).withColumnRenamed("x", "q")
+    return shown(ivf.search(asked, ivf.postings(turned, index), index, 8, 10))
+
+
+# --- metrics
+
+FLAT = f"WITH {sql.QD}, {sql.QRELS}, f AS MATERIALIZED {sql.topk()}"
+
+
+def _metric(name: str, columns: list[str], gain: str = "exp2") -> None:
+    @query(name, f"{FLAT} SELECT query_id, {', '.join(f'round({c}, 6) AS {c}' for c in columns)} FROM {sql.metrics('f', gain)}")
+    def run(spark, sf_dir):
+        return ranking.per_query(exact(spark, sf_dir), judgements(spark, sf_dir), gain).select("query_id", *[r6(c).alias(c) for c in columns])
+
+
+_metric("recall_at_k", ["recall_at_5", "recall_at_10"])
+_metric("mrr_at_10", ["mrr"])
+_metric("ndcg_graded", ["ndcg"])
+_metric("ndcg_binary", ["ndcg"], "binary")
+
+METRICS = ("recall_at_5", "recall_at_10", "success", "mrr", "ndcg")
+
+
+@query("metric_summary", f"{FLAT} SELECT {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)}, count(*)::BIGINT AS n_queries FROM {sql.metrics('f')}")
+def metric_summary(spark, sf_dir):
+    s = ranking.summary(ranking.per_query(exact(spark, sf_dir), judgements(spark, sf_dir)))
+    return s.select(*[r6(c).alias(c) for c in METRICS], "n_queries")
+
+
+PAIR_COS = "avg(list_inner_product(x, y) / greatest(sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)), 1e-12))"
+IP = "(SELECT avg(abs(list_inner_product(a.x, b.x) - list_inner_product(a.y, b.y))) FROM p a, p b WHERE a.vec_id < 100 AND b.vec_id < 100)"
+
+
+@query("distortion", f"WITH {sql.QD}, {sql.scalar('s', 4)}, p AS MATERIALIZED (SELECT vec_id, d.x AS x, s_y.x AS y FROM d JOIN s_y USING (vec_id)) SELECT round({MSE}, 6) AS mse, round({PAIR_COS}, 6) AS mean_cosine, round({IP}, 6) AS ip_error FROM p")
+def distortion(spark, sf_dir):
+    pairs = scalar_reconstructed(sides(spark, sf_dir)[1], 4)
+    both = ranking.distortion(pairs).join(ranking.inner_product_error(pairs.where("vec_id < 100").select("vec_id", "x", "y")), F.lit(True))
+    return both.select(r6("mse").alias("mse"), r6("mean_cosine").alias("mean_cosine"), r6("ip_error").alias("ip_error"))
+
+
+def _overlap_sql(a: str, b: str, k: int) -> str:
+    return f"SELECT query_id, count(b.vec_id)::DOUBLE / {k}.0 AS overlap FROM {a} a LEFT JOIN {b} b USING (query_id, vec_id) GROUP BY query_id"
+
+
+@query("neighbor_overlap", f"WITH {sql.QD}, {sql.scalar('s', 4)}, f AS {sql.topk()}, g AS {sql.topk('s_y')} {_overlap_sql('f', 'g', 10)}")
+def neighbor_overlap(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    return ranking.overlap(flat.top_k_expression(q, d, 10), flat.top_k_expression(q, scalar_reconstructed(d, 4).select("vec_id", F.col("y").alias("x")), 10))
+
+
+@query("topk_recall_selfexcl", f"""WITH {ALL}, {sql.scalar('s', 4, 'alld')}, f AS {sql.topk('alld', 5, 'allq', 'query_id <> vec_id')},
+g AS {sql.topk('s_y', 5, '(SELECT vec_id AS query_id, x AS q FROM s_y)', 'query_id <> vec_id')}, o AS ({_overlap_sql('f', 'g', 5)}) SELECT round(avg(overlap), 6) AS recall, count(*)::BIGINT AS n_queries FROM o""")
+def topk_recall_selfexcl(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("vec_id", "x")
+    y = scalar_reconstructed(v, 4).select("vec_id", F.col("y").alias("x"))
+    asked = lambda df: df.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    both = ranking.overlap(flat.top_k_block(asked(v), v, 5, True), flat.top_k_block(asked(y), y, 5, True), 5)
+    return both.agg(r6(F.avg("overlap")).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
+
+
+COMPARED = {"float32": ("d", "n * 256"), "int8": ("s8_y", "n * 64 + 4"), "int4": ("s4_y", "n * 32 + 4"), "pq_m8_k16": ("py", "n * 4 + 4096")}
+
+
+@query("method_comparison", f"WITH {sql.QD}, {sql.QRELS}, n AS (SELECT count(*) AS n FROM d), {sql.scalar('s8', 8)}, {sql.scalar('s4', 4)}, {sql.lloyd('p', 'd', 8, 16)}, py AS MATERIALIZED (SELECT vec_id, {sql.unit('y')} AS x FROM p_dec), f AS MATERIALIZED {sql.topk()}, "
+       + ", ".join(f"r_{m} AS MATERIALIZED {sql.topk(y)}" for m, (y, _) in COMPARED.items()) + " " + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, round(avg(recall_at_10), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, (SELECT round(avg(overlap), 6) FROM ({_overlap_sql('f', 'r_' + m, 10)})) AS overlap, (SELECT ({b})::BIGINT FROM n) AS bytes, "
+    f"(SELECT round(n * 256.0 / ({b}), 4) FROM n) AS ratio FROM {sql.metrics('r_' + m)}" for m, (_, b) in COMPARED.items()))
+def method_comparison(spark, sf_dir):
+    q, d = sides(spark, sf_dir)
+    qrels, base, n = judgements(spark, sf_dir), flat.top_k_expression(q, d, 10), d.count()
+    made = {"float32": (d, n * 256), "int8": (scalar_reconstructed(d, 8), n * 64 + 4), "int4": (scalar_reconstructed(d, 4), n * 32 + 4), "pq_m8_k16": (pq_reconstructed(d, 8, 16), n * 4 + 4096)}
+    out = None
+    for name, (y, size) in made.items():
+        found = flat.top_k_expression(q, y if name == "float32" else y.select("vec_id", F.col("y").alias("x")), 10)
+        row = ranking.summary(ranking.per_query(found, qrels)).join(ranking.overlap(base, found).agg(F.avg("overlap").alias("overlap")), F.lit(True))
+        row = row.select(F.lit(name).alias("method"), r6("recall_at_10").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"), r6("overlap").alias("overlap"), F.lit(size).cast("long").alias("bytes"), F.round(F.lit(n * 256.0) / F.lit(size), 4).alias("ratio"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+# --- storage
+
+# Published corpus sizes and index settings.
+STORAGE = [
+    ("float32_57638", "float32", 57638, 384, 32, 1, 1, 1, False, False), ("int8_57638", "scalar", 57638, 384, 8, 1, 1, 1, False, False), ("int4_57638", "scalar", 57638, 384, 4, 1, 1, 1, False, False),
+    ("ivfpq_57638", "ivfpq", 57638, 384, 8, 96, 256, 256, False, False), ("rotated_ivfpq_57638", "ivfpq", 57638, 384, 8, 96, 256, 256, True, False), ("ivfpq_m24_57638", "ivfpq", 57638, 384, 8, 24, 256, 256, False, False),
+    ("ivfpq_5183", "ivfpq", 5183, 384, 8, 96, 256, 256, False, False), ("rotated_ivfpq_5183", "ivfpq", 5183, 384, 8, 96, 256, 256, True, False),
+    ("ivfpq_1000000", "ivfpq", 1000000, 384, 8, 96, 256, 4096, False, True), ("rotated_ivfpq_1000000", "ivfpq", 1000000, 384, 8, 96, 256, 4096, True, True), ("vq_800", "pq", 800, 384, 4, 1, 16, 1, False, False), ("pq_800", "pq", 800, 384, 6, 32, 64, 1, False, False),
+]
+STORAGE_SCHEMA = "method string, kind string, n long, d int, bits int, m int, k int, nlist int, rotated boolean, ids_again boolean"
+STORAGE_SQL = "WITH c(method, kind, n, d, bits, m, k, nlist, rotated, ids_again) AS (VALUES " + ", ".join(str(r) for r in STORAGE) + """),
+p AS (SELECT *, (n * d * 4)::BIGINT AS float32_bytes, CASE kind WHEN 'float32' THEN n * d * 4 WHEN 'scalar' THEN ceil(n * d * bits / 8.0) ELSE ceil(n * m * ceil(log2(k)) / 8.0) END::BIGINT AS payload_bytes,
+  CASE kind WHEN 'float32' THEN 0 WHEN 'scalar' THEN 4 ELSE k * d * 4 END::BIGINT AS book, CASE WHEN rotated THEN d * d * 4 ELSE 0 END::BIGINT AS turn,
+  CASE kind WHEN 'ivfpq' THEN nlist * d * 4 + n * 8 ELSE 0 END::BIGINT + CASE WHEN ids_again THEN n * 8 + 128 ELSE 0 END::BIGINT AS rest FROM c),
+b AS (SELECT method, float32_bytes, payload_bytes, payload_bytes + book AS format_bytes, payload_bytes + book + turn AS deployment_bytes, payload_bytes + book + turn + rest AS serialized_bytes FROM p)
+SELECT """
+
+
+def _storage(name: str, columns: list[str]) -> None:
+    listed = [c if c.endswith("bytes") else f"round(float32_bytes / {c.removesuffix('_ratio')}_bytes, 4) AS {c}" for c in columns]
+
+    @query(name, STORAGE_SQL + "method, " + ", ".join(listed) + " FROM b")
+    def run(spark, sf_dir):
+        return reports.storage(spark.createDataFrame(STORAGE, STORAGE_SCHEMA)).select("method", *columns)
+
+
+_storage("storage_analytical", ["float32_bytes", "payload_bytes", "format_bytes", "deployment_bytes", "payload_ratio", "format_ratio", "deployment_ratio"])
+_storage("storage_serialized", ["serialized_bytes", "serialized_ratio"])
+
+
+# --- latency and reports
+
+LOG_SQL = "s AS (SELECT event_type AS endpoint, [1, 8, 32][(event_id % 3 + 1)::INT] AS batch_size, value AS ms, (event_id % 5)::INT AS run, event_id AS position, user_id FROM events WHERE value IS NOT NULL)"
+
+
+def request_log(spark, sf_dir) -> DataFrame:
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL")
+    size = F.element_at(F.array(F.lit(1), F.lit(8), F.lit(32)), (F.col("event_id") % 3 + 1).cast("int"))
+    return e.select(F.col("event_type").alias("endpoint"), size.alias("batch_size"), F.col("value").alias("ms"), (F.col("event_id") % 5).cast("int").alias("run"), F.col("event_id").alias("position"), "user_id")
+
+
+@query("api_latency_summary", f"""WITH {LOG_SQL} SELECT endpoint, batch_size, count(*)::BIGINT AS requests, sum(batch_size)::BIGINT AS total_queries, round(quantile_cont(ms, 0.5), 6) AS client_p50_ms, round(quantile_cont(ms, 0.95), 6) AS client_p95_ms,
+round(avg(ms), 6) AS client_mean_ms, round(quantile_cont(ms * 0.8, 0.5), 6) AS server_p50_ms, round(quantile_cont(ms * 0.8, 0.95), 6) AS server_p95_ms, round(sum(batch_size) * 1000.0::DOUBLE / sum(ms), 6) AS query_throughput_qps FROM s GROUP BY endpoint, batch_size""")
+def api_latency_summary(spark, sf_dir):
+    log = request_log(spark, sf_dir).withColumnRenamed("ms", "client_latency_ms").withColumn("server_latency_ms", F.col("client_latency_ms") * F.lit(0.8))
+    out = reports.latency_summary(log)
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+@query("batch_stability", f"""WITH {LOG_SQL}, b AS (SELECT run, (row_number() OVER (PARTITION BY run ORDER BY position) - 1) // 64 AS batch_id, ms FROM s), t AS (SELECT run, batch_id, count(*) AS n, sum(ms) AS ms FROM b GROUP BY ALL HAVING count(*) = 64),
+r AS (SELECT run, quantile_cont(ms / 64, 0.5) AS p50, quantile_cont(ms / 64, 0.95) AS p95, sum(n) * 1000.0::DOUBLE / sum(ms) AS qps, sum(n)::BIGINT AS timed FROM t GROUP BY run)
+SELECT """ + ", ".join(f"round(quantile_cont({c}, {p}), 6) AS {c}_{n}" for c in ("p50", "p95", "qps") for p, n in ((0.5, "median"), (0.1, "p10"), (0.9, "p90"))) + ", count(*)::BIGINT AS runs, max(timed)::BIGINT AS timed_queries FROM r")
+def batch_stability(spark, sf_dir):
+    out = reports.batch_stability(request_log(spark, sf_dir), 64)
+    return out.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+
+
+RESULT_SQL = f"""{LOG_SQL}, res AS (SELECT endpoint || '_np' || (user_id % 8) AS method, endpoint, (user_id % 8)::INT AS nprobe, round(max(ms) / avg(ms), 4) AS ratio, round(1 / (1 + stddev_pop(ms) / 10), 4) AS recall, round(quantile_cont(ms, 0.95), 4) AS p95,
+round(avg(ms), 4) AS qps, round(quantile_cont(ms, 0.1), 4) AS qps_p10, round(quantile_cont(ms, 0.9), 4) AS qps_p90 FROM s GROUP BY ALL)"""
+
+
+def results(spark, sf_dir) -> DataFrame:
+    """A result table of methods made of the request log."""
+    log = request_log(spark, sf_dir).withColumn("nprobe", (F.col("user_id") % 8).cast("int"))
+    pct = lambda p: F.round(F.expr(f"percentile(ms, {p})"), 4)
+    out = log.groupBy("endpoint", "nprobe").agg(
+        F.round(F.max("ms") / F.avg("ms"), 4).alias("ratio"), F.round(1 / (1 + F.stddev_pop("ms") / 10), 4).alias("recall"), pct(0.95).alias("p95"), F.round(F.avg("ms"), 4).alias("qps"), pct(0.1).alias("qps_p10"), pct(0.9).alias("qps_p90")
+    )
+    return out.withColumn("method", F.concat("endpoint", F.lit("_np"), "nprobe"))
+
+
+def _front_sql(x: str, y: str) -> str:
+    return f"SELECT method, ratio, recall, p95 FROM (SELECT *, -p95 AS fast FROM res) a WHERE NOT EXISTS (SELECT 1 FROM (SELECT *, -p95 AS fast FROM res) b WHERE b.{x} >= a.{x} AND b.{y} >= a.{y} AND (b.{x} > a.{x} OR b.{y} > a.{y}))"
+
+
+@query("pareto_storage", f"WITH {RESULT_SQL} {_front_sql('ratio', 'recall')}")
+def pareto_storage(spark, sf_dir):
+    return reports.frontier(results(spark, sf_dir), "ratio", "recall").select("method", "ratio", "recall", "p95")
+
+
+@query("pareto_latency", f"WITH {RESULT_SQL} {_front_sql('fast', 'recall')}")
+def pareto_latency(spark, sf_dir):
+    return reports.frontier(results(spark, sf_dir).withColumn("fast", -F.col("p95")), "fast", "recall").select("method", "ratio", "recall", "p95")
+
+
+@query("throughput_errorbars", f"WITH {RESULT_SQL} SELECT method, endpoint, qps, round(greatest(qps - qps_p10, 0), 4) AS error_low, round(greatest(qps_p90 - qps, 0), 4) AS error_high FROM res")
+def throughput_errorbars(spark, sf_dir):
+    bar = lambda c: F.round(F.greatest(c, F.lit(0.0)), 4)
+    return results(spark, sf_dir).select("method", "endpoint", "qps", bar(F.col("qps") - F.col("qps_p10")).alias("error_low"), bar(F.col("qps_p90") - F.col("qps")).alias("error_high"))
+
+
+@query("best_methods", f"""WITH {RESULT_SQL} SELECT 'best_recall' AS choice, arg_max(method, row(recall, ratio)) AS method FROM res UNION ALL SELECT 'best_ratio', arg_max(method, row(ratio, recall)) FROM res
+UNION ALL SELECT 'best_balance', arg_max(method, row(ratio * recall, ratio)) FROM res UNION ALL SELECT 'practical', arg_max(method, row(ratio, recall)) FROM res WHERE recall >= 0.25""")
+def best_methods(spark, sf_dir):
+    return reports.best_methods(results(spark, sf_dir), 0.25)
+
+
+@query("report_table", f"""WITH {RESULT_SQL}, o(endpoint, display_order) AS (VALUES ('view', 1), ('click', 2), ('purchase', 3))
+SELECT row_number() OVER (ORDER BY coalesce(display_order, 9), endpoint, nprobe NULLS FIRST)::BIGINT AS line, method AS "Method", nprobe AS "Probes", round(recall, 3) AS "Recall", round(ratio, 2) AS "Compression" FROM res LEFT JOIN o USING (endpoint) WHERE nprobe NOT IN (5, 6)""")
+def report_table(spark, sf_dir):
+    order = spark.createDataFrame([("view", 1), ("click", 2), ("purchase", 3)], "endpoint string, display_order int")
+    rows = results(spark, sf_dir).where(~F.col("nprobe").isin(5, 6)).join(F.broadcast(order), "endpoint", "left")  # three rows
+    line = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.coalesce("display_order", F.lit(9)), "endpoint", F.col("nprobe").asc_nulls_first())).cast("long")  # one row a method
+    return rows.select(line.alias("line"), F.col("method").alias("Method"), F.col("nprobe").alias("Probes"), F.round("recall", 3).alias("Recall"), F.round("ratio", 2).alias("Compression"))
+
+
+# --- service and text
+
+DOC_SQL = sql.encoded("de", "doc_id", "documents")
+
+
+def encoded_documents(spark, sf_dir) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
+    return docs.join(hash_encode(docs, "doc_id", "text"), "doc_id").withColumn("vec_id", F.col("doc_id"))
+
+
+def _search_sql(n: int, k: int) -> str:
+    return f"""WITH bq AS (SELECT item_id AS pos, text FROM benchmark WHERE item_id < {n}), {DOC_SQL}, {sql.encoded('qe', 'pos', 'bq')}, qq AS (SELECT pos AS query_id, x AS q FROM qe), dd AS (SELECT doc_id AS vec_id, x FROM de), hit AS {sql.topk('dd', k, 'qq')}
+SELECT query_id AS pos, md5(bq.text) AS query_md5, rank, round(score, 6) AS score, vec_id AS doc_id, source AS title, replace(substr(documents.text, 1, 80), chr(10), ' ') AS preview FROM hit JOIN documents ON vec_id = doc_id JOIN bq ON pos = query_id"""
+
+
+def _searched(spark, sf_dir, n: int, k: int) -> DataFrame:
+    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("pos"), "text")
+    hits = search_texts(asked, encoded_documents(spark, sf_dir), k)
+    preview = F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))
+    return hits.select("pos", F.md5("query").alias("query_md5"), "rank", r6("score").alias("score"), "doc_id", "title", preview.alias("preview"))
+
+
+@query("search", _search_sql(1, 5))
+def search(spark, sf_dir):
+    return _searched(spark, sf_dir, 1, 5)
+
+
+@query("batch_search", _search_sql(16, 5))
+def batch_search(spark, sf_dir):
+    return _searched(spark, sf_dir, 16, 5)
+
+
+@query("text_search", _search_sql(1_000_000, 10))
+def text_search(spark, sf_dir):
+    return _searched(spark, sf_dir, 1_000_000, 10)
+
+
+@query("health", "SELECT 'ok' AS status, 'flat' AS index_type, 'hash' AS model, count(*)::BIGINT AS documents FROM documents")
+def health(spark, sf_dir):
+    return Retriever(spark, documents=table(spark, sf_dir, "documents")).health()
+
+
+@query("inspect", f"""{FLAT} SELECT f.query_id, f.rank, f.vec_id, round(f.score, 6) AS score, coalesce(qrels.score, 0)::INT AS judged, label FROM f LEFT JOIN qrels USING (query_id, vec_id) JOIN embeddings USING (vec_id)""")
+def inspect(spark, sf_dir):
+    hits = exact(spark, sf_dir).join(judgements(spark, sf_dir).withColumnRenamed("score", "judged"), ["query_id", "vec_id"], "left")
+    hits = hits.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "vec_id")
+    return hits.select("query_id", "rank", "vec_id", r6("score").alias("score"), F.coalesce("judged", F.lit(0)).alias("judged"), "label")
+
+
+@query("hash_encode", f"WITH {DOC_SQL} SELECT doc_id, array_to_string(list_transform(x, lambda e: round(e * 1000)::INT), ',') AS code FROM de")
+def encode_texts(spark, sf_dir):
+    x = hash_encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return x.select("doc_id", joined(F.transform("x", lambda e: F.round(e * 1000).cast("int"))).alias("code"))
+
+
+@query("artifact_roundtrip")
+def artifact_roundtrip(spark, sf_dir):
+    """Write an index, read it again and compare what both find."""
+    q, d = sides(spark, sf_dir)
+    index = ivf.train(d, 16, 8, 16)
+    lists = ivf.postings(d, index)
+    path = shared_path(spark, "artifact")
+    artifact.save(spark, path, index, lists, d.select("vec_id", F.col("vec_id").alias("doc_id")), rotation())
+    again, stored, documents, turned, manifest = artifact.load(spark, path)
+    before, after = ivf.search(q, lists, index, 4, 10), ivf.search(q, stored, again, 4, 10)
+    differ = before.select("query_id", "rank", "vec_id").exceptAll(after.select("query_id", "rank", "vec_id")).count()
+    rows = [("documents", documents.count() == manifest["vector_count"]), ("rotation", bool((turned == rotation()).all())), ("codebook", bool((again.book.centroids == index.book.centroids).all())), ("ranking", differ == 0)]
+    return spark.createDataFrame(rows, "check_name string, ok boolean")
+
+
+# --- streams
+
+
+@query("stream_encode_append", f"WITH alld AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT 1.0 / 127 AS s) SELECT vec_id, array_to_string(list_transform(x, lambda e: greatest(-127, least(127, round_even(e / s, 0)))::INT), ',') AS codes FROM alld, s")
+def stream_encode_append(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    streams.append_codes(streams.vector_stream(spark, f"{sf_dir}/embeddings.parquet"), f"{out}/codes", f"{out}/checkpoint", 1.0 / 127)
+    return spark.read.parquet(f"{out}/codes").select("vec_id", joined(F.col("codes")).alias("codes"))
+
+
+@query("stream_static_search", f"WITH {sql.QD} {sql.ranking_output(sql.topk())}")
+def stream_static_search(spark, sf_dir):
+    out = shared_path(spark, "stream")
+    asked = streams.vector_stream(spark, f"{sf_dir}/embeddings.parquet").where("vec_id % 10 = 0")
+    streams.search_stream(asked, sides(spark, sf_dir)[1], 10, f"{out}/found", f"{out}/checkpoint")
+    return shown(spark.read.parquet(f"{out}/found"))
