@@ -50,6 +50,6 @@ def require_count(df: DataFrame, expected: int, what: str) -> None:
 
 
 def require_present(df: DataFrame, column: str, names: list[str]) -> None:
-    have = {r[0] for r in df.select(column).distinct().limit(10_000).collect()}
-    if absent := [n for n in names if n not in have]:
+    have = {r[0] for r in df.where(F.col(column).isin(names)).select(column).distinct().collect()}  # at most as many as names
+    if absent := [str(n) for n in names if n not in have]:
         raise ValueError(f"missing: {', '.join(absent)}")
