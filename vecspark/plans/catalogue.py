@@ -34,15 +34,22 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where the scan has fewer splits than those (a small file of one row group); else as scanned."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "vec_id") if df.rdd.getNumPartitions() < cores else df
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vec_id, x, label) in double precision."""
-    return table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("x"), "label")
+    return spread(table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("x"), "label"))
 
 
 def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(query_id, q) and (vec_id, x)."""
-    v = vectors(spark, sf_dir)
-    return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), v.where("vec_id % 10 <> 0").select("vec_id", "x")
+    v = table(spark, sf_dir, "embeddings").select("vec_id", doubles("embedding").alias("x"))
+    asked = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    return asked, spread(v.where("vec_id % 10 <> 0"))
 
 
 def judgements(spark: SparkSession, sf_dir: str) -> DataFrame:
