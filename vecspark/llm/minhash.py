@@ -6,10 +6,15 @@ Jaccard similarity, so ROWS of them make a band. Documents of equal sets are one
 share a band are candidates; the joint likelihood of the register comparisons estimates their similarity (Ertl, 2021)
 and prunes far pairs; the others are confirmed on their full shingle sets.
 
-Pairs are not enumerated within buckets. First each class is compared with one other class alone: of the densest
-member of each of its buckets (that with most bucket mates), the densest one. Confirmed links are joined into components. After
-that only pairs across different components that share a bucket are left to compare, all of them, which adds
-every link that can still merge components.
+Pairs are not enumerated within buckets. First each class is compared with one other class alone, its pivot: of the
+densest member of each of its buckets (that with most bucket mates), the densest one. Confirmed links are joined into
+components. Only pairs across different components are then left:
+ - Classes of one pivot are described by their differences to it. If neither is near enough to the pivot to link by
+   sizes alone (then both link to the pivot), two classes can only link if they share enough of their differences;
+   with those in one fixed order, the first one shared must leave room for the rest. This prefix test is exact, and
+   independent edits of one original share too little to pass it, so a large group of near copies gives few pairs.
+ - Classes of different pivots that share a bucket are pruned by the likelihood estimate.
+What is left of either is confirmed on full sets.
 
 At a similarity of 0.85 a link shares no band with a probability of 6e-13 (0.8: 5e-9), and a link is
 pruned by the estimate, which has six standard deviations of slack, with one below 1e-9.
@@ -148,6 +153,43 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fracti
     return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
 
 
+def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """u, v, set sizes, size of the intersection, number of v's shingles that u lacks and all differences (u's own first) of the pairs."""
+    schema = "u long, v long, n_u long, n_v long, both long, lacks long, d long, diff array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text_u"):
+            rows = []
+            for a, b in zip(shingle_sets(part.column("text_u"), width), shingle_sets(part.column("text_v"), width)):
+                both = np.intersect1d(a, b, assume_unique=True)
+                near = 2 * both.size >= a.size + b.size - both.size
+                own, lacks = (np.setdiff1d(x, both, assume_unique=True) if near else x[:0] for x in (a, b))
+                rows.append((a.size, b.size, both.size, b.size - both.size, own.size + lacks.size, np.concatenate([own, ~lacks]).view(np.int64)))
+            n_u, n_v, both, lacks, d, diff = zip(*rows)
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), *(pa.array(x, pa.int64()) for x in (n_u, n_v, both, lacks, d)), pa.array(diff, pa.list_(pa.int64()))], names=["u", "v", "n_u", "n_v", "both", "lacks", "d", "diff"])
+
+    of_u, of_v = texts.toDF("u", "text_u"), texts.toDF("v", "text_v")
+    return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, schema)
+
+
+def sharing_differences(members: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs (u, v) of different components g that may link, of members (u, pivot, n_u, n_v, lacks, d, diff, g) of one pivot.
+
+    With P the pivot's size, |u & v| = P - lacks_u - lacks_v + shared differences, and u and v link if
+    (a + b) |u & v| >= a (|u| + |v|) for a similarity a / b."""
+    a, ab = similarity.numerator, similarity.numerator + similarity.denominator
+    # what a class must share with any other of its pivot, times ab
+    least = F.lit(a) * (F.col("n_u") + F.col("n_v")) + F.lit(ab) * (F.col("lacks") - F.col("n_v"))
+    prefix = F.col("d") - F.greatest(F.lit(1), F.ceil(least / ab)) + 1
+    rows = members.withColumn("prefix", prefix).where("prefix > 0")
+    rows = rows.select("u", "pivot", "n_u", "n_v", "lacks", "d", "g", "prefix", F.posexplode("diff").alias("i", "e")).where("i < prefix")
+    rows = cut(rows.select("pivot", "e", "u", "g", (F.col("d") - F.col("i")).alias("room"), (F.lit(a) * F.col("n_u") + F.lit(ab) * F.col("lacks")).alias("need"), (F.lit(ab) * F.col("n_v")).alias("p")))
+    x = rows.toDF("pivot", "e", "u", "g_u", "room_u", "need_u", "p")
+    y = rows.drop("p").toDF("pivot", "e", "v", "g_v", "room_v", "need_v")
+    can = (F.col("u") < F.col("v")) & (F.col("g_u") != F.col("g_v")) & (F.lit(ab) * F.least("room_u", "room_v") >= F.col("need_u") + F.col("need_v") - F.col("p"))
+    return x.join(y, (x["pivot"] == y["pivot"]) & (x["e"] == y["e"]) & can).select("u", "v").distinct()
+
+
 def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     """The pairs (u, v) whose estimated similarity is at least the given one."""
 
@@ -191,18 +233,31 @@ def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
     with_text(source.join(wanted, "first"), width).write.option("compression", "zstd").parquet(text_path)
     texts = spark.read.parquet(text_path)
 
-    least = float(similarity) - SLACK
-    links = cut(confirmed(likely(star, classes, least), texts, width, similarity))
+    star_path = shared_path(spark, "star")
+    differences(likely(star, classes, 0.5 - SLACK), texts, width).write.option("compression", "zstd").parquet(star_path)
+    star = spark.read.parquet(star_path)
+    num, den = similarity.numerator, similarity.denominator
+    links = cut(star.where((F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_u") + F.col("n_v") - F.col("both"))) & (F.col("both") > 0)).select("u", "v"))
     first = cut(components(links))
 
-    # what star links cannot merge: buckets that still hold several components
-    placed = entries.select("b", "c").join(first.withColumnRenamed("node", "c"), "c", "left").select("b", "c", F.coalesce("component", "c").alias("g"))
-    placed = cut(placed)
-    mixed = cut(placed.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("b"))
+    # pairs that can still merge components: of one pivot, and of different pivots in one bucket
+    grouped = first.toDF("u", "component")
+    pivots = star.where(F.lit(2) * F.col("both") >= F.col("n_u") + F.col("n_v") - F.col("both")).withColumnRenamed("v", "pivot")
+    members = cut(pivots.join(grouped, "u", "left").withColumn("g", F.coalesce("component", "u")).drop("component", "both"))
+    split = cut(members.groupBy("pivot").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("pivot"))
+    near = sharing_differences(members.join(split, "pivot"), similarity)
+
+    placed = entries.select("b", F.col("c").alias("u")).join(grouped, "u", "left").join(members.select("u", "pivot"), "u", "left")
+    placed = cut(placed.select("b", "u", F.coalesce("component", "u").alias("g"), F.coalesce("pivot", "u").alias("pivot")))
+    mixed = placed.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
+    mixed = cut(mixed.where("g0 <> g1 AND p0 <> p1").select("b"))
     placed = cut(placed.join(mixed, "b"))
-    a, b = placed.toDF("b", "u", "g_u"), placed.toDF("b", "v", "g_v")
-    rest = a.join(b, "b").where("g_u < g_v").select("u", "v").distinct()
-    rest = cut(confirmed(likely(rest, classes, least), texts, width, similarity))
+    a, b = placed.toDF("b", "u", "g_u", "p_u"), placed.toDF("b", "v", "g_v", "p_v")
+    # a class and its own pivot have been compared
+    apart = (F.col("g_u") < F.col("g_v")) & (F.col("p_u") != F.col("p_v")) & (F.col("p_u") != F.col("v")) & (F.col("p_v") != F.col("u"))
+    rest = a.join(b, (a["b"] == b["b"]) & apart).select("u", "v").distinct()
+    rest = likely(rest, classes, float(similarity) - SLACK)
+    rest = cut(confirmed(cut(near.unionAll(rest).distinct()), texts, width, similarity))
     merged = cut(components(links.unionAll(rest)))
 
     named = classes.select("h1", "h2", "c", "first").join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
