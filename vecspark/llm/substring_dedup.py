@@ -24,6 +24,7 @@ table gives an empty result; other columns pass through `remove_repeats` (names
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ from vecspark.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, ANCHOR = 20, 12
 BATCH_DOCS = 256
-BUCKET_ENTRIES = 32_768
-SALTS = 16
+BUCKET_ENTRIES = 196_608
+SALTS = 4
 NULL_KEY = -(2**63)
 ASKED = "_sub_r int, _sub_b long, _sub_keys binary, _sub_docs binary"
 ANSWER = "_sub_b long, _sub_kind int, _sub_r int, _sub_bits binary, _sub_owners binary, _sub_index binary, _sub_text binary"
@@ -59,24 +60,33 @@ class Batch:
         self.starts, self.lengths, self.first = words_of(self.raw, offsets)
         n = self.starts.size
         self.doc = np.repeat(np.arange(self.keys.size), np.diff(self.first))
-        word = span_hashes(self.raw, self.starts, self.lengths) if n else np.empty(0, np.uint64)
+        self.word = span_hashes(self.raw, self.starts, self.lengths) if n else np.empty(0, np.uint64)
         m = max(0, n - WINDOW + 1)
         self.at = np.flatnonzero(self.doc[:m] == self.doc[WINDOW - 1 : WINDOW - 1 + m])  # starts of windows
+
+    @cached_property
+    def anchor(self) -> np.ndarray:
+        """The least hash of ANCHOR words in each window."""
         if not self.at.size:
-            self.anchor, self.hash = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        else:
-            grams = n - ANCHOR + 1
-            low = span_hashes(word, np.arange(grams), np.full(grams, ANCHOR))
-            span = WINDOW - ANCHOR + 1
-            width = 1
-            while 2 * width <= span:  # least of ever wider spans
-                low = np.minimum(low[:-width], low[width:])
-                width *= 2
-            low = np.minimum(low[: low.size - (span - width)], low[span - width :])
-            self.anchor = low[self.at]
-            self.hash = span_hashes(word, self.at, np.full(self.at.size, WINDOW))
-        # distinct windows with their first places here
-        self.unique, self.first_at, self.inverse, self.count = np.unique(self.hash, return_index=True, return_inverse=True, return_counts=True)
+            return np.empty(0, np.uint64)
+        grams = self.word.size - ANCHOR + 1
+        low = span_hashes(self.word, np.arange(grams), np.full(grams, ANCHOR))
+        span, width = WINDOW - ANCHOR + 1, 1
+        while 2 * width <= span:  # least of ever wider spans
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        return np.minimum(low[: low.size - (span - width)], low[span - width :])[self.at]
+
+    @cached_property
+    def _windows(self) -> tuple[np.ndarray, ...]:
+        hashes = span_hashes(self.word, self.at, np.full(self.at.size, WINDOW)) if self.at.size else np.empty(0, np.uint64)
+        return np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+
+    # distinct windows in ascending order of their hashes, with their first places here
+    unique = property(lambda self: self._windows[0])
+    first_at = property(lambda self: self._windows[1])
+    inverse = property(lambda self: self._windows[2])
+    count = property(lambda self: self._windows[3])
 
     def anchors(self) -> np.ndarray:
         return np.unique(self.anchor)
