@@ -46,7 +46,7 @@ def n_words(col) -> F.Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of the text column (a longer text stays whole)."""
     for batch in batches:
         if not batch.num_rows:

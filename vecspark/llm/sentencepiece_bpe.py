@@ -261,7 +261,7 @@ def encode_documents(docs: DataFrame, model_bytes: bytes) -> DataFrame:
     def run(batches):
         encoder = Encoder(shared.value)
         sha = lambda s: hashlib.sha256(s).hexdigest()
-        for part in slices(batches, "text", 8 << 20):
+        for part in slices(batches, "text", 4 << 20):
             rows = [(n, sha(ids), sha(text)) for n, ids, text in encoder.batch(pc.fill_null(part.column("text"), "").to_pylist())]
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

@@ -37,7 +37,7 @@ MAX_LEXICON = 4_096
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9, 10)
 MIN_GAIN = 14.0  # log-likelihood ratio that a learned word needs
 MIN_CONTEXTS = 4
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 150_000  # of a task; about 40 MB
 
 OTHER, INSULT, THREAT, TARGET, NEGATOR, REPORTER = range(6)
 
@@ -253,7 +253,7 @@ def clause_features(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = (
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Lexicon(*shared.value))
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 2 << 20):
             f = reader.features(part.column("text"))
             columns = [part.column("doc_id"), *(pa.array(x) for x in f.T), *(part.column(c) for c in keep)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "top", "total", "words", *keep])
