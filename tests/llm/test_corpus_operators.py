@@ -150,6 +150,16 @@ def test_deduplicate(docs, empty):
     assert minhash.deduplicate(empty).count() == 0
 
 
+def test_deduplicate_decides_by_text_not_by_id(spark):
+    text = lambda a: " ".join(f"{a}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("a")), (3, text("c")), (5, text("d")), (5, text("c") + " more")]
+    rows += [(7, text("e")), (7, text("f")), (None, None), (None, ""), (7, " ")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row int")
+    out = minhash.deduplicate(df).collect()
+    assert sorted((key(r.doc_id), r.text or "") for r in out) == sorted((key(k), t or "") for i, (k, t) in enumerate(rows) if i not in (2, 5))
+    assert sorted(r.row for r in out if r.row not in (0, 2)) == [1, 3, 4, 6, 7, 8, 9, 10]
+
+
 def test_joint_estimate_and_merging():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

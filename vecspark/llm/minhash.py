@@ -20,9 +20,10 @@ At a similarity of 0.85 a link shares no band with a probability of 6e-13 (0.8:
 pruned by the estimate, which has six standard deviations of slack, with one below 1e-9.
 
 Edge cases: null or empty texts, and texts without words, have an empty set, form no link and are their own
-component; with fewer words than a shingle has, the whole sequence is the only shingle; rows that repeat a doc_id
-fall in one component with it if their texts are near, and `deduplicate` keeps one of them; a null doc_id stands for
-the smallest long; an empty table gives an empty result; extra columns are ignored, and kept by `deduplicate`.
+component, and `deduplicate` keeps all of them; with fewer words than a shingle has, the whole sequence is the only
+shingle; rows that share a doc_id (or have none) are apart unless their texts are near: `deduplicate` keeps one row of
+each group of near texts, whatever the ids; a null doc_id stands for the smallest long; an empty table gives an empty
+result; extra columns are ignored, and kept by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -32,10 +33,12 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from vecspark.llm.common import binaries, cut, mix64, shared_path, slices, span_hashes, table, text_bytes, words_of
+from vecspark.llm.common import WORD, binaries, cut, mix64, shared_path, slices, span_hashes, table, text_bytes, words_of
 from vecspark.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -71,6 +74,14 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     return out
 
 
+def set_hashes(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The size of each set and the halves of its 128-bit hash."""
+    size = np.array([s.size for s in sets], np.int64)
+    flat = np.concatenate(sets)
+    at = np.append(0, np.cumsum(size))[:-1]
+    return size, span_hashes(flat, at, size).view(np.int64), span_hashes(mix64(flat), at, size).view(np.int64)
+
+
 def registers(values: np.ndarray) -> np.ndarray:
     """The SetSketch registers of a set of 64-bit hashes."""
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
@@ -124,10 +135,7 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
-            size = np.array([s.size for s in sets], np.int64)
-            flat = np.concatenate(sets)
-            at = np.append(0, np.cumsum(size))[:-1]
-            h1, h2 = span_hashes(flat, at, size).view(np.int64), span_hashes(mix64(flat), at, size).view(np.int64)
+            size, h1, h2 = set_hashes(sets)
             k = [registers(s) if s.size else np.empty(0, np.uint16) for s in sets]
             bands = [band_hashes(x) if x.size else None for x in k]
             yield pa.RecordBatch.from_arrays(
@@ -205,8 +213,8 @@ def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
     return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long")
 
 
-def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """(k, n, component) of each row of docs (doc_id, text): set size and the smallest k reachable over links."""
+def near_classes(docs: DataFrame, width: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
+    """(k, n, h1, h2) of each row of docs (doc_id, text), and (h1, h2, least) of each class: least (first, h1, h2) is the smallest k reachable over links and the class that has it."""
     spark = docs.sparkSession
     path = shared_path(spark, "sketches")
     sketch(docs, width).write.parquet(path)
@@ -262,9 +270,14 @@ def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
 
     named = classes.select("h1", "h2", "c", "first").join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = cut(named)
-    smallest = cut(named.groupBy("component").agg(F.min("first").alias("least")))
-    named = cut(named.join(smallest, "component").select("h1", "h2", "least"))
-    out = rows.select("k", "n", "h1", "h2").join(named, ["h1", "h2"], "left")
+    smallest = cut(named.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("least")))
+    return rows.select("k", "n", "h1", "h2"), cut(named.join(smallest, "component").select("h1", "h2", "least"))
+
+
+def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
+    """(k, n, component) of each row of docs (doc_id, text): set size and the smallest k reachable over links."""
+    rows, named = near_classes(docs, width, similarity)
+    out = rows.join(named.select("h1", "h2", F.col("least.first").alias("least")), ["h1", "h2"], "left")
     return out.select("k", "n", F.coalesce("least", "k").alias("component"))
 
 
@@ -282,12 +295,21 @@ def with_text(rows: DataFrame, width: int) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
-    """One document of each near-duplicate group, that of the smallest doc_id; whole rows of docs."""
-    found = near_components(docs.select("doc_id", "text"), width, similarity)
-    kept = found.where("k = component").select(F.col("k").alias("_near_k")).distinct()
-    key = F.coalesce(docs["doc_id"], F.lit(NULL_KEY).cast("long"))
-    out = docs.withColumn("_near_key", key).join(kept, F.col("_near_key") == F.col("_near_k"), "left_semi")
-    return out.dropDuplicates(["_near_key"]).drop("_near_key")
+    """One document of each group of near texts, of the smallest doc_id, and all documents without words; whole rows of docs."""
+    named = near_classes(docs.select("doc_id", "text"), width, similarity)[1]
+    keys = ["_near_k", "_near_h1", "_near_h2"]
+    kept = named.select("least.*").distinct().toDF(*keys)
+    schema = StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in keys)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            _, h1, h2 = set_hashes(shingle_sets(part.column("text"), width))
+            k = pc.fill_null(part.column("doc_id").cast(pa.int64()), NULL_KEY)
+            yield pa.RecordBatch.from_arrays([*part.columns, k, pa.array(h1), pa.array(h2)], names=[*part.schema.names, *keys])
+
+    worded = F.coalesce("text", F.lit("")).rlike(WORD)
+    out = docs.where(worded).mapInArrow(run, schema).join(kept, keys, "left_semi").dropDuplicates(keys)
+    return out.select(*docs.columns).unionAll(docs.where(~worded))
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
