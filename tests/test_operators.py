@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vecspark.operators import artifact, corpus, flat, ivf, quantize, ranking, reports
+from vecspark.plans import catalogue
 from vecspark.service import Retriever, validate
 from vecspark.sources import readers, writers
 
@@ -59,6 +60,25 @@ def test_more_bits_distort_less(vecs):
     assert errors[0] > errors[1] > errors[2]
 
 
+@pytest.mark.parametrize("block", [7, 4096])
+def test_inner_product_error_takes_all_pairs(vecs, monkeypatch, block):
+    df, x = vecs
+    monkeypatch.setattr(ranking, "PAIR_BLOCK", block, raising=False)
+    pairs = df.select("vec_id", "x", F.transform("x", lambda e: F.round(e, 1)).alias("y"))
+    y = np.array([r.y for r in pairs.orderBy("vec_id").collect()])
+    assert ranking.inner_product_error(pairs).first().ip_error == pytest.approx(np.abs(x @ x.T - y @ y.T).mean(), abs=1e-12)
+
+
+def test_distortion_covers_ids_of_any_size(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).astype("float32").tolist(), 0) for i in range(1, 260, 2)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    pairs = catalogue.scalar_reconstructed(catalogue.sides(spark, str(tmp_path))[1], 4).orderBy("vec_id").collect()
+    x, y = (np.array([r[c] for r in pairs]) for c in ("x", "y"))
+    got = catalogue.QUERIES["distortion"](spark, str(tmp_path)).first().ip_error
+    assert len(x) == 130 and got == pytest.approx(np.abs(x @ x.T - y @ y.T).mean(), abs=1e-6)
+
+
 def test_zero_vectors_have_a_scale(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, x array<double>")
     assert quantize.scalar_scale(df, 8) == 1.0

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecspark.functions.vector import dot
+from vecspark.operators import flat
+
+#: Rows of a block of pairs, and of one matrix product in it.
+PAIR_BLOCK, PAIR_ROWS = 8_192, 512
 
 
 def per_query(ranking: DataFrame, qrels: DataFrame, gain: str = "exp2", k: int = 10) -> DataFrame:
@@ -44,10 +50,23 @@ def distortion(pairs: DataFrame) -> DataFrame:
 
 
 def inner_product_error(pairs: DataFrame) -> DataFrame:
-    """ip_error: mean |<x,x'> - <y,y'>| over all pairs of a sample of (vec_id, x, y); for samples of a checked size."""
-    a, b = pairs.toDF("i", "xa", "ya"), pairs.toDF("j", "xb", "yb")
-    met = a.join(F.broadcast(b), F.lit(True))
-    return met.agg(F.avg(F.abs(dot(F.col("xa"), F.col("xb")) - dot(F.col("ya"), F.col("yb")))).alias("ip_error"))
+    """ip_error: mean |<x,x'> - <y,y'>| over all pairs of (vec_id, x, y), by blocks of both sides that meet by key."""
+    pairs = pairs.where("x IS NOT NULL AND y IS NOT NULL")
+    groups = max(1, -(-pairs.count() // PAIR_BLOCK))
+    number = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    dealt = pairs.select("x", "y", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("own"))
+    a, b = dealt.withColumnRenamed("own", "g").withColumn("h", number), dealt.withColumnRenamed("own", "h").withColumn("g", number)
+
+    def pair(key, left, right):
+        total, n = 0.0, left.num_rows * right.num_rows
+        if n:
+            (xa, ya), (xb, yb) = ([flat._matrix(t[c]) for c in ("x", "y")] for t in (left, right))
+            for i in range(0, len(xa), PAIR_ROWS):
+                total += float(np.abs(xa[i : i + PAIR_ROWS] @ xb.T - ya[i : i + PAIR_ROWS] @ yb.T).sum())
+        return pa.table({"total": pa.array([total], pa.float64()), "n": pa.array([n], pa.int64())})
+
+    met = a.groupBy("g", "h").cogroup(b.groupBy("g", "h")).applyInArrow(pair, "total double, n long")
+    return met.agg((F.sum("total") / F.sum("n")).alias("ip_error"))
 
 
 def overlap(a: DataFrame, b: DataFrame, k: int = 10) -> DataFrame:
