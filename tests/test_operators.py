@@ -79,6 +79,13 @@ def test_distortion_covers_ids_of_any_size(spark, tmp_path):
     assert len(x) == 130 and got == pytest.approx(np.abs(x @ x.T - y @ y.T).mean(), abs=1e-6)
 
 
+def test_text_search_asks_items_of_any_id(spark, tmp_path):
+    spark.createDataFrame([(3, "red apple pie"), (2_000_000, "deep blue sea")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "the deep blue sea", "s"), (2, "a red apple pie", "s")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    first = catalogue.QUERIES["text_search"](spark, str(tmp_path)).where("rank = 1").collect()
+    assert sorted((r.pos, r.doc_id) for r in first) == [(3, 2), (2_000_000, 1)]
+
+
 def test_zero_vectors_have_a_scale(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0])], "vec_id long, x array<double>")
     assert quantize.scalar_scale(df, 8) == 1.0

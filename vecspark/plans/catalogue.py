@@ -544,8 +544,10 @@ def _search_sql(n: int, k: int) -> str:
 SELECT query_id AS pos, md5(bq.text) AS query_md5, rank, round(score, 6) AS score, vec_id AS doc_id, source AS title, replace(substr(documents.text, 1, 80), chr(10), ' ') AS preview FROM hit JOIN documents ON vec_id = doc_id JOIN bq ON pos = query_id"""
 
 
-def _searched(spark, sf_dir, n: int, k: int) -> DataFrame:
-    asked = table(spark, sf_dir, "benchmark").where(F.col("item_id") < n).select(F.col("item_id").alias("pos"), "text")
+def _searched(spark, sf_dir, n: int | None, k: int) -> DataFrame:
+    """The k best documents of the items below n, or of all items."""
+    items = table(spark, sf_dir, "benchmark")
+    asked = (items if n is None else items.where(F.col("item_id") < n)).select(F.col("item_id").alias("pos"), "text")
     hits = search_texts(asked, encoded_documents(spark, sf_dir), k)
     preview = F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))
     return hits.select("pos", F.md5("query").alias("query_md5"), "rank", r6("score").alias("score"), "doc_id", "title", preview.alias("preview"))
@@ -563,7 +565,7 @@ def batch_search(spark, sf_dir):
 
 @query("text_search", _search_sql(1_000_000, 10))
 def text_search(spark, sf_dir):
-    return _searched(spark, sf_dir, 1_000_000, 10)
+    return _searched(spark, sf_dir, None, 10)
 
 
 @query("health", "SELECT 'ok' AS status, 'flat' AS index_type, 'hash' AS model, count(*)::BIGINT AS documents FROM documents")
