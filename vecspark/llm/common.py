@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,9 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share. Only a local session that names none gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark._jsc.sc().isLocal():
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='vecspark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -39,23 +42,54 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in a folder of this driver's within the shared one; the folder goes when the driver ends."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_vecspark_scratch", None):
+        sc._vecspark_scratch = f"{shared_dir(spark)}/vecspark-{uuid.uuid4().hex}"
+        p = spark._jvm.org.apache.hadoop.fs.Path(sc._vecspark_scratch)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(p)
+        files.deleteOnExit(p)
+    return f"{sc._vecspark_scratch}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def n_words(col) -> F.Column:
     return F.regexp_count(F.coalesce(col, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each holds about max_bytes of the text column (a longer text stays whole)."""
+def slices(batches: Iterator[pa.RecordBatch], *columns: str, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each holds about max_bytes of the text columns (a longer text stays whole)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size, dtype=np.int64) // max_bytes
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        part = np.cumsum(size) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free back to the system, so that a worker of several tasks stays small."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
+@functools.cache
+def _trim():
+    """The C library's malloc_trim where it has one."""
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
