@@ -19,9 +19,7 @@ from vecspark.llm.toxicity import score_documents, train_model
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity operator does not reject; its model learns from the corpus as it came in."""
     model = train_model(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    scored = score_documents(docs, model, others)
-    return scored.where("predicted = 0").select(*docs.columns)
+    return score_documents(docs, model, tuple(docs.columns)).where("_tox_predicted = 0").select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

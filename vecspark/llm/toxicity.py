@@ -12,7 +12,8 @@ are counted, not documents alone, so that copies of one text don't teach their o
 
 Edge cases: a null or empty text has no clause and gets the lowest score, which is still defined; texts are read whole;
 repeated rows score alike; with no usable label of a class the seeded grammar is used with fixed coefficients;
-an empty table gives an empty result; extra columns are ignored.
+an empty table gives an empty result; extra columns are ignored, or kept by `score_documents` under any name that does
+not start with _tox_, the prefix of all columns that the operator makes.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from vecspark.llm.common import distinct_spans, slices, table, text_bytes, words_of
+from vecspark.llm.common import cut, distinct_spans, slices, table, text_bytes, words_of
 from vecspark.llm.labelled import fold, training_rows
 
 PARTS, HELD = 4, 2
 THRESHOLD = 0.3
 TRAIN_PER_CLASS = 4_000  # bound of the labelled sample, for each class
-MAX_LEXICON = 4_096
 STEM_LENGTHS = (3, 4, 5, 6, 7, 8, 9, 10)
 MIN_GAIN = 14.0  # log-likelihood ratio that a learned word needs
 MIN_CONTEXTS = 4
@@ -113,13 +114,14 @@ class Grammar:
 
 @dataclass
 class Lexicon:
-    """Words and open stems with their insult weights; at most MAX_LEXICON of each."""
+    """Words and open stems with their insult weights; their number is bounded by the labelled sample."""
 
     words: dict[str, float] = field(default_factory=dict)
     stems: dict[str, float] = field(default_factory=dict)
 
 
 _CORES = re.compile(r"[^\W\d_]+")
+_PIECES = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*[@$]?|[@$][^\W_]+(?:[@$][^\W_]+)*[@$]?")  # letters, digits and the marks that stand for letters
 _SPELLED = str.maketrans("013457@$", "oieastas")
 
 
@@ -138,8 +140,9 @@ class Reader:
         text = word.decode("utf-8", "replace").lower()
         stop = 8 * (text[-1] in ".!?;:,…")
         best = max((self.weight(core) for core in _CORES.findall(text)), default=0.0)
-        if not best and not text.isalpha() and len(text) < 64:
-            best = self.weight("".join(_CORES.findall(text.translate(_SPELLED))))
+        if not best and not text.isalpha():  # spelled with digits or marks, piece by piece, or with marks between all letters
+            best = max((self.weight("".join(_CORES.findall(p.translate(_SPELLED)))) for p in _PIECES.findall(text)), default=0.0)
+            best = best or self.weight("".join(_CORES.findall(text.translate(_SPELLED))))
         if best:
             return stop + INSULT, best
         return stop + self.fixed.get(text.strip(".!?;:,…\"'()[]"), OTHER), 0.0
@@ -168,7 +171,9 @@ class Reader:
             word = blob[a : a + n]
             kind = memo.get(word)
             if kind is None:
-                kind = memo[word] = self.symbol(word)
+                kind = self.symbol(word)
+                if n <= 64:  # longer ones hardly come again
+                    memo[word] = kind
             kinds.append(kind)
         kind = np.array([k for k, _ in kinds], np.int8)[inverse]
         weight = np.array([w for _, w in kinds])[inverse]
@@ -236,30 +241,28 @@ def learn_lexicon(train: DataFrame) -> Lexicon:
     gain = k * F.log(rate / share) + F.when(rate < 1, (n - k) * F.log((1 - rate) / (1 - share))).otherwise(0.0)
     both = both.where((F.col("clean_docs") <= 0.05 * F.col("docs") * totals[0] / totals[1]) & (rate > share)).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN)
     out = Lexicon(dict(seed), {})
-    for r in both.orderBy(F.desc("gain"), "f").limit(MAX_LEXICON).collect():
+    for r in both.orderBy(F.desc("gain"), "f").collect():  # bounded by the sample
         purity = 1.0 - min(1.0, (r["clean_docs"] + 0.5) / totals[0] / ((r["docs"] + 0.5) / totals[1]))
         f, into = (r["f"][:-1], out.stems) if r["f"].endswith("*") else (r["f"], out.words)
         into[f] = max(into.get(f, 0.0), 0.4 + 0.6 * purity)
     return out
 
 
-SCHEMA = "doc_id long, top double, total double, words double"
+FEATURES = ("_tox_top", "_tox_total", "_tox_words")
 
 
 def clause_features(docs: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
-    """docs' doc_id and kept columns with clause features; no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.stems))
-    kept = docs.select(*keep).schema
+    """The kept columns of docs (with text) and the clause features of each row; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.words, lexicon.stems))  # bounded by the labelled sample
+    schema = StructType([*docs.select(*keep).schema.fields, *(StructField(c, DoubleType()) for c in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(Lexicon(*shared.value))
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", max_bytes=2 << 20):
             f = reader.features(part.column("text"))
-            columns = [part.column("doc_id"), *(pa.array(x) for x in f.T), *(part.column(c) for c in keep)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "top", "total", "words", *keep])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array(x) for x in f.T)], names=[*keep, *FEATURES])
 
-    schema = SCHEMA + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.select("doc_id", "text", *[c for c in keep if c != "text"]).mapInArrow(run, schema)
+    return docs.select("text", *[c for c in keep if c != "text"]).mapInArrow(run, schema)
 
 
 @dataclass
@@ -269,27 +272,26 @@ class Model:
 
 
 def train_model(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = training_rows(docs, labels, "toxic", PARTS, HELD, TRAIN_PER_CLASS)
+    rows = cut(training_rows(docs, labels, "toxic", PARTS, HELD, TRAIN_PER_CLASS))  # the only pass over the documents
     lexicon = learn_lexicon(rows)
-    f: pd.DataFrame = clause_features(rows, lexicon, ("y", "weight")).select("top", "total", "words", "y", "weight").toPandas()  # bounded by the sample
-    return Model(lexicon, fit_curve(f[["top", "total", "words"]].to_numpy(float), f["y"].to_numpy(float), f["weight"].to_numpy(float)))
+    f: pd.DataFrame = clause_features(rows, lexicon, ("y", "weight")).toPandas()  # bounded by the sample
+    return Model(lexicon, fit_curve(f[list(FEATURES)].to_numpy(float), f["y"].to_numpy(float), f["weight"].to_numpy(float)))
 
 
 def score_column(curve: tuple[float, ...]):
-    total, words = F.col("total"), F.col("words")
-    terms = [F.lit(1.0), F.least("top", F.lit(4.0)), F.log1p(total), F.log1p(total * 1000.0 / F.greatest(words, F.lit(50.0)))]
+    top, total, words = (F.col(c) for c in FEATURES)
+    terms = [F.lit(1.0), F.least(top, F.lit(4.0)), F.log1p(total), F.log1p(total * 1000.0 / F.greatest(words, F.lit(50.0)))]
     z = sum((F.lit(float(b)) * t for b, t in zip(curve, terms)), F.lit(0.0))
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(z, F.lit(30.0)))))
 
 
-def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, score, predicted and the kept columns of each row of docs."""
-    out = clause_features(docs, model.lexicon, keep).withColumn("score", score_column(model.curve))
-    return out.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0)).drop("top", "total", "words")
+def score_documents(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The kept columns of each row of docs, whatever their names, with _tox_score and _tox_predicted."""
+    out = clause_features(docs, model.lexicon, keep).withColumn("_tox_score", score_column(model.curve)).drop(*FEATURES)
+    return out.withColumn("_tox_predicted", F.when(F.col("_tox_score") >= THRESHOLD, 1).otherwise(0))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = train_model(docs, table(spark, sf_dir, "labels"))
-    out = score_documents(docs, model)
-    return out.select("doc_id", (fold(F.col("doc_id"), PARTS) == HELD).alias("held_out"), "score", "predicted")
+    out = score_documents(docs, train_model(docs, table(spark, sf_dir, "labels")))
+    return out.select("doc_id", (fold(F.col("doc_id"), PARTS) == HELD).alias("held_out"), F.col("_tox_score").alias("score"), F.col("_tox_predicted").alias("predicted"))
