@@ -7,8 +7,9 @@ number of rows), every document's cosine with all of them is computed in exact b
 nearest ones vote with their similarity.
 
 Edge cases: a null or empty text has a zero vector and gets the sample's mean label; texts are read whole; repeated
-rows score alike; with no usable labels every score is 0.5; ties of similarity go to the smaller reference; an empty
-table gives an empty result; extra columns are ignored.
+rows score alike; with no usable labels every score is 0.5; of references as similar as the last one that votes those of
+smaller doc_id vote; each vote also has the weight of its row in the labelled sample, so that a bounded sample of a large
+class counts for the whole class; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -95,7 +96,8 @@ class Model:
     idf: np.ndarray  # FEATURES
     basis: np.ndarray  # FEATURES x DIMENSIONS
     vectors: np.ndarray  # unit rows, at most 2 * TRAIN_PER_CLASS
-    votes: np.ndarray  # -1 or 1 times the weight of each reference
+    votes: np.ndarray  # label of each reference, 0 or 1
+    weights: np.ndarray  # labelled rows that each reference stands for, 1 on average
     prior: float
 
 
@@ -124,6 +126,16 @@ def fit(counts: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return idf, (basis * scale).astype(np.float32)
 
 
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k highest values of each row, ties to the smaller column."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    bound = np.take_along_axis(cosine, near, 1).min(1)
+    for r in np.flatnonzero((cosine >= bound[:, None]).sum(1) > k):  # more rows tie with the last one than there is room for
+        tied, above = np.flatnonzero(cosine[r] == bound[r]), np.flatnonzero(cosine[r] > bound[r])
+        near[r] = np.concatenate([above, tied[: k - above.size]])
+    return near
+
+
 def vote(model: Model, vectors: np.ndarray) -> np.ndarray:
     """Similarity-weighted share of label 1 among the nearest references, by exact blocked cosines."""
     out = np.full(len(vectors), model.prior)
@@ -131,8 +143,8 @@ def vote(model: Model, vectors: np.ndarray) -> np.ndarray:
     for a in range(0, len(vectors), BLOCK):
         block = vectors[a : a + BLOCK]
         cosine = block @ model.vectors.T
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** 4
+        near = nearest(cosine, k)
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0.0) ** 4 * model.weights[near]
         ones = model.votes[near]
         total = weight.sum(1)
         known = (total > 0) & (np.abs(block).sum(1) > 0)
@@ -144,7 +156,7 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model | None:
     rows = training_rows(docs, labels, "quality", PARTS, HELD, TRAIN_PER_CLASS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text", 1 << 20):
+        for part in slices(batches, "text", max_bytes=1 << 20):
             counts = term_counts(part.column("text"))
             yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "y": part.column("y"), "weight": part.column("weight"), "counts": [x.astype(np.float16).tobytes() for x in counts]})
 
@@ -156,19 +168,19 @@ def train_model(docs: DataFrame, labels: DataFrame) -> Model | None:
     y, weight = got["y"].to_numpy().astype(float), got["weight"].to_numpy()
     idf, basis = fit(counts, y)
     prior = float((y * weight).sum() / weight.sum())
-    return Model(idf, basis, project(counts, idf, basis), y, prior)
+    return Model(idf, basis, project(counts, idf, basis), y, weight / weight.mean(), prior)
 
 
 def score_documents(docs: DataFrame, model: Model | None) -> DataFrame:
     """(doc_id, score) of each row of docs (doc_id, text); no shuffle."""
     if model is None:
         return docs.select("doc_id", F.lit(0.5).alias("score"))
-    parts = (model.idf, model.basis, model.vectors, model.votes, model.prior)
+    parts = (model.idf, model.basis, model.vectors, model.votes, model.weights, model.prior)
     shared = docs.sparkSession.sparkContext.broadcast(parts)  # at most 4,096 x 32 floats and a basis of 2,700 x 32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
-        for part in slices(batches, "text", 2 << 20):
+        for part in slices(batches, "text", max_bytes=2 << 20):
             for a in range(0, part.num_rows, BLOCK):  # counts of many short texts stay small
                 block = part.slice(a, BLOCK)
                 counts = term_counts(block.column("text"))
