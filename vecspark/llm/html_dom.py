@@ -41,38 +41,57 @@ class Page:
     edges: list[int] = field(default_factory=list)  # number of block boundaries before each text
 
 
+class _Open:
+    """The stack of open elements. It knows where each tag name is open, so that no look-up walks the stack."""
+
+    def __init__(self, page: Page):
+        self.page, self.stack, self.at = page, [], {}
+
+    def push(self, node: int) -> None:
+        self.at.setdefault(self.page.tag[node], []).append(len(self.stack))
+        self.stack.append(node)
+
+    def last(self, names) -> int:
+        """The highest place of the stack that holds one of the names, 0 if none does."""
+        return max((self.at[n][-1] for n in names if self.at.get(n)), default=0)
+
+    def close(self, place: int) -> None:
+        """Close all elements from a place on."""
+        for node in reversed(self.stack[place:]):
+            self.at[self.page.tag[node]].pop()
+        del self.stack[place:]
+
+
 def parse(source: str) -> Page:
-    """Read a page. Open elements close at their end tag, implied ends and the end of the page; stray ends are ignored."""
+    """Read a page in time linear in its length. Open elements close at their end tag, implied ends and the end of the page;
+    stray ends are ignored."""
     page = Page()
-    stack: list[int] = []
+    opened = _Open(page)
+    seen = {"html"}
     edge = 0
 
     def open_(name: str, attributes: str) -> int:
         page.tag.append(name)
-        page.parent.append(stack[-1] if stack else -1)
-        page.depth.append(len(stack))
+        page.parent.append(opened.stack[-1] if opened.stack else -1)
+        page.depth.append(len(opened.stack))
         page.attributes.append(attributes)
         return len(page.tag) - 1
 
-    stack.append(open_("html", ""))
+    opened.push(open_("html", ""))
 
     def add(piece: str) -> None:
         if piece:
-            page.text_node.append(stack[-1])
+            page.text_node.append(opened.stack[-1])
             page.text.append(piece)
             page.marks.append(len(page.tag))
             page.edges.append(edge)
 
     def close_within(names, boundary) -> None:
         nonlocal edge
-        for k in range(len(stack) - 1, 0, -1):
-            name = page.tag[stack[k]]
-            if name in names:
-                del stack[k:]
-                edge += 1
-                return
-            if name in boundary:
-                return
+        place = opened.last(names)
+        if place > opened.last(boundary):
+            opened.close(place)
+            edge += 1
 
     at, end = 0, len(source)
     while at < end:
@@ -86,10 +105,12 @@ def parse(source: str) -> Page:
         opening, rest = opening or broken, rest or broken_rest
         if opening:
             name = opening.lower()
-            if name in ("html", "body") and name in page.tag:
-                continue
+            if name in ("html", "body"):
+                if name in seen:
+                    continue
+                seen.add(name)
             if name in ENDS_P:
-                close_within({"p"}, BOUNDARY)
+                close_within(("p",), BOUNDARY)
             if name in CLOSES:
                 close_within(CLOSES[name], BOUNDARY - CLOSES[name] - ({"td", "th"} if name in ("tr", "tbody", "tfoot") else frozenset()))
             if name in BLOCKS:
@@ -97,23 +118,19 @@ def parse(source: str) -> Page:
             node = open_(name, rest or "")
             if name in VOID or (rest or "").endswith("/") and name in ("svg", "path"):
                 continue
+            opened.push(node)
             if name in RAW:
                 stop = re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-                stack.append(node)
                 add(source[at : stop.start() if stop else end])
-                stack.pop()
+                opened.close(len(opened.stack) - 1)
                 at = stop.end() if stop else end
-                continue
-            stack.append(node)
         elif closing:
             name = closing.lower()
-            if name == "br" or name == "p" and not any(page.tag[k] == "p" for k in stack):
+            if name == "br" or name == "p" and not opened.at.get("p"):
                 edge += 1
                 continue
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    del stack[k:]
-                    break
+            if place := opened.last((name,)):
+                opened.close(place)
             if name in BLOCKS:
                 edge += 1
     return page

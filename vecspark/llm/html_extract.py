@@ -5,15 +5,18 @@ densities of its own text and subtree (text per tag, share of linked text, punct
 Boosted regression trees (trained here, on pages written by `training_pages` with known main text) give each
 element log-odds of being main text. A tree programme then decodes the best consistent choice: from the root down an
 element may turn from outside to main once, and from main to an excluded box once; below a box nothing is main again.
-So no element is chosen against its ancestors.
+So no element is chosen against its ancestors. Where nothing is chosen, what stands outside all boxes (menus, headers,
+footers, asides, forms, and elements whose attributes name notices, adverts, comments and the like) is the main text.
 
 Edge cases: a null or empty html gives ''; markup that never closes or is cut off closes at its parent's end or the
-end of the page; pages without markup are one block; texts of any length are read whole; repeated rows give the same
-text; an empty table gives an empty result; extra columns are ignored.
+end of the page; pages without markup, or without an element around their paragraphs, keep all text outside boxes; texts
+of any length are read whole, in time linear in it; repeated rows give the same text; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -48,9 +51,12 @@ for _k, _g in enumerate(WORD_GROUPS):
     for _t in _g.split():
         WORD_BITS[_t] = WORD_BITS.get(_t, 0) | 1 << _k
 
+BOX_TAGS = frozenset("nav menu header footer aside form fieldset legend label".split())
+BOX_WORDS = sum(1 << k for k in range(1, len(WORD_GROUPS)))  # all groups but that of main text
+
 N_FEATURES = len(TAG_GROUPS) + len(ABOVE_GROUPS) + 2 * len(WORD_GROUPS) + 18
 TREES, DEPTH, BINS, RATE = 80, 4, 32, 0.2
-TRAINING_PAGES = 600  # written by the generator, whatever the corpus
+TRAINING_PAGES = 800  # written by the generator, whatever the corpus
 
 
 @dataclass
@@ -58,6 +64,7 @@ class Nodes:
     features: np.ndarray
     own: np.ndarray  # characters of text directly in each element
     hidden: np.ndarray
+    boxed: np.ndarray  # in an element that is no main text by its name
 
 
 def node_features(page: Page, pieces: list[str]) -> Nodes:
@@ -65,7 +72,7 @@ def node_features(page: Page, pieces: list[str]) -> Nodes:
     n = len(page.tag)
     parent = np.array(page.parent, np.int64)
     depth = np.array(page.depth, np.float64)
-    above, words_above, own_words, hidden = [0] * n, [0] * n, [0] * n, [False] * n
+    above, words_above, own_words, hidden, boxed = [0] * n, [0] * n, [0] * n, [False] * n, [False] * n
     for k in range(n):
         tag, up = page.tag[k], page.parent[k]
         bits = 0
@@ -74,10 +81,12 @@ def node_features(page: Page, pieces: list[str]) -> Nodes:
                 bits |= WORD_BITS.get(w, 0)
         own_words[k] = bits
         hidden[k] = tag in HIDDEN
+        boxed[k] = tag in BOX_TAGS or (bits & BOX_WORDS > 0 and not bits & 1)
         if up >= 0:
             above[k] = above[up] | ABOVE_BIT.get(page.tag[up], 0)
             words_above[k] = words_above[up] | own_words[up]
             hidden[k] = hidden[k] or hidden[up]
+            boxed[k] = boxed[k] or boxed[up]
     own, marks, linked = np.zeros(n), np.zeros(n), np.zeros(n)
     in_link = [(a & 128) > 0 or page.tag[k] == "a" for k, a in enumerate(above)]
     for node, piece in zip(page.text_node, pieces):
@@ -119,7 +128,7 @@ def node_features(page: Page, pieces: list[str]) -> Nodes:
         links[up] / np.maximum(total[up], 1), np.log1p(total[up] / tags[up]), text_before / all_text, np.full(n, np.log1p(all_text)), total[up] / all_text,
     ])
     x = np.concatenate([group, bits(above, len(ABOVE_GROUPS)), bits(own_words, len(WORD_GROUPS)), bits(words_above, len(WORD_GROUPS)), dense], 1)
-    return Nodes(x.astype(np.float32), own, np.array(hidden))
+    return Nodes(x.astype(np.float32), own, np.array(hidden), np.array(boxed))
 
 
 # --- boosted trees
@@ -208,7 +217,10 @@ def decode(page: Page, nodes: Nodes, log_odds: np.ndarray) -> list[bool]:
     for k in range(1, n):
         above = state[page.parent[k]]
         state[k] = int(enter[k]) if above == 0 else (2 if leave[k] else 1) if above == 1 else 2
-    return [s == 1 and not h for s, h in zip(state, nodes.hidden.tolist())]
+    chosen = [s == 1 and not h for s, h in zip(state, nodes.hidden.tolist())]
+    if not any(c and o for c, o in zip(chosen, nodes.own.tolist())):
+        chosen = (~(nodes.hidden | nodes.boxed)).tolist()
+    return chosen
 
 
 def main_text(page: Page, pieces: list[str], chosen: list[bool]) -> str:
@@ -288,7 +300,8 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         return rng.choice([f"<section{cls('comments', 'discussion', 'responses')}>{body}</section>", f"<div{cls('comments', 'disqus-thread', 'reader-comments')}>{body}</div>", f"<ul{cls('comments', 'comment-list')}>{body}</ul>"])
 
     def share() -> str:
-        return f"<div{cls('share', 'social', 'share-buttons')}><a href=/f>{words(1, 1)}</a><a href=/t>{words(1, 1)}</a></div>"
+        body = rng.choice([f"<a href=/f>{words(1, 1)}</a><a href=/t>{words(1, 1)}</a>", words(1, 4), f"<span>{words(1, 3)}</span><button>{words(1, 1)}</button>"])
+        return f"<div{cls('share', 'social', 'share-buttons', 'sharing')}>{body}</div>"
 
     m = MARK
     closed = lambda tag, body: f"<{tag}>{body}" + (f"</{tag}>" if rng.random() < 0.9 else "")
@@ -324,7 +337,9 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
                 inner.insert(rng.randint(1, len(inner)), maker())
         inside = "".join(inner)
         root = rng.random()
-        if root < 0.5:
+        if root < 0.06:  # nothing around the paragraphs
+            main = inside
+        elif root < 0.5:
             main = f"<article>{inside}</article>"
         elif root < 0.62:
             main = f"<main>{inside}</main>"
@@ -341,6 +356,8 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         rng.shuffle(after)
         if rng.random() < 0.15:
             before, after = before + after, []
+        if rng.random() < 0.06:  # main text alone
+            before, after = [], []
         foot = rng.choice([f"<footer>&copy; {words(1, 25)}</footer>", f"<footer><p>{words(2, 30)}</p><ul>{links(2)}</ul></footer>", f"<div{cls('footer')}>{words(2, 25)}</div>", ""])
         body = "".join(before) + main + "".join(after) + foot
         if rng.random() < 0.25:
@@ -349,6 +366,7 @@ def training_pages(n: int = TRAINING_PAGES, seed: int = 7) -> Iterator[str]:
         yield head + body + ("</body></html>" if rng.random() < 0.9 else "")
 
 
+@functools.cache
 def train_trees(n: int = TRAINING_PAGES) -> Trees:
     xs, ys, ws = [], [], []
     for source in training_pages(n):
@@ -376,7 +394,7 @@ def extract_pages(pages: DataFrame, trees: Trees) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Trees(*shared.value)
-        for part in slices(batches, "html", 1 << 20):
+        for part in slices(batches, "html", max_bytes=1 << 20):
             texts = extract(part.column("html").to_pylist(), own)
             yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
