@@ -9,9 +9,11 @@ the most significant slice downward; rows that tie at the boundary are resolved
 Every query meets every block once: query groups and blocks meet by equal keys (block, group), with bounded sizes of
 both, so nothing is broadcast and no pair of rows leaves a task unless it is among a block's k best.
 
-Edge cases: null vectors and those with null, NaN or infinite components take no part; shorter vectors count as padded
-with zeros; of rows that repeat a vec_id all are candidates (but for queries of that id) and one, the least vector, is
-the query; a query without candidates gives no row; an empty table gives an empty result; extra columns are ignored.
+Edge cases: null vectors and those with null, NaN or infinite components, and rows without vec_id, take no part; shorter
+vectors count as padded with zeros; rows that repeat a vec_id are queries of their own, and candidates of each other: each
+such query gives its k rows under the same query_id; components so large that a sum of products may leave 64 bits raise a
+ValueError before the search; a query without candidates gives no row; an empty table gives an empty result; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import table
+from vecspark.llm.common import cut, table
 
 BLOCK_ROWS = 32_768
-QUERY_GROUP = 256
+QUERY_GROUP, LEAST_GROUP = 4_096, 256  # queries that meet a block together; fewer only while tasks would be too few
 SCALE = 64
 TOP_K = 20
 EVERY = 20
-CHUNK = "block long, grp long, n long, ids binary, slices binary"
-FOUND = "query_id long, vec_id long, score long"
+CHUNK = "block long, n long, ids binary, numbers binary, slices binary"
+FOUND = "asked long, query_id long, vec_id long, score long"
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -125,49 +127,58 @@ def select_top(total: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate([chosen, numbers(open_)[: k - chosen.size]])
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best of vectors for each of queries (both vec_id, q), a query's own id left out."""
+def top_k(vectors: DataFrame, queries, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best of vectors (vec_id, q) for each of its rows that the condition queries holds for, itself left out."""
+    vectors = cut(vectors.select("vec_id", "q").withColumn("row", F.monotonically_increasing_id()))
     seen = vectors.select("vec_id", F.array_min("q").alias("low"), F.array_max("q").alias("high"), F.size("q").alias("d"))
-    facts = seen.agg(F.count(F.lit(1)), F.min("low"), F.max("high"), F.max("d")).first()  # four numbers
-    n, low, high, size = facts[0], min(0, facts[1] or 0), max(0, facts[2] or 0), max(1, facts[3] or 0)
+    facts = seen.agg(F.count(F.lit(1)), F.min("low"), F.max("high"), F.max("d"), F.count_if(queries)).first()  # five numbers
+    n, low, high, size, n_queries = facts[0], min(0, facts[1] or 0), max(0, facts[2] or 0), max(1, facts[3] or 0), facts[4]
+    if size * max(-low, high) ** 2 >= 1 << 63:
+        raise ValueError(f"components from {low} to {high} in {size} dimensions: inner products may exceed 64 bits")
     span = high - low
     width = max(1, int(span).bit_length())
     blocks = max(1, -(-n // BLOCK_ROWS))
-    groups = max(1, -(-queries.count() // QUERY_GROUP))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, -(-n_queries // QUERY_GROUP), min(-(-n_queries // LEAST_GROUP), -(-2 * cores // blocks)))
 
     def index(key, t):
-        t = t.sort_by([("vec_id", "ascending")])
-        ids = t.column("vec_id").to_numpy()
+        t = t.sort_by([("vec_id", "ascending"), ("row", "ascending")])
+        ids, numbers = t.column("vec_id").to_numpy(), t.column("row").to_numpy()
         slices = build_slices(_matrix(t, size) - low, width)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "grp": pa.array([0], pa.int64()), "n": pa.array([ids.size], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()), "slices": pa.array([slices.tobytes()], pa.binary())})
+        return pa.table({
+            "block": pa.array([key[0].as_py()], pa.int64()), "n": pa.array([ids.size], pa.int64()), "ids": pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+            "numbers": pa.array([numbers.astype("<i8").tobytes()], pa.binary()), "slices": pa.array([slices.tobytes()], pa.binary()),
+        })
 
     def search(key, block, asked):
         found = []
         if block.num_rows and asked.num_rows:
-            ids = np.frombuffer(block.column("ids")[0].as_py(), "<i8")
+            ids, numbers = (np.frombuffer(block.column(c)[0].as_py(), "<i8") for c in ("ids", "numbers"))
+            place = dict(zip(numbers.tolist(), range(numbers.size)))
             slices = np.frombuffer(block.column("slices")[0].as_py(), np.uint64).reshape(size, width, -1)
             every = np.zeros(slices.shape[2] * 64, np.uint8)
             every[: ids.size] = 1
             rows = np.packbits(every, bitorder="little").view(np.uint64)
             # span - value, slice by slice
             flipped = np.stack([_subtracted(span, s, rows) for s in slices])
-            for query, weights in zip(asked.column("vec_id").to_pylist(), _matrix(asked, size)):
-                own = rows.copy()
-                for r in range(*np.searchsorted(ids, [query, query + 1]).tolist()):
+            for row, query, weights in zip(asked.column("row").to_pylist(), asked.column("vec_id").to_pylist(), _matrix(asked, size)):
+                own = rows
+                if (r := place.get(row)) is not None:
+                    own = rows.copy()
                     own[r // 64] &= ~np.uint64(1 << (r % 64))
                 best = select_top(scores(slices, flipped, weights), own, k)
                 bits = (slices[:, :, best // 64] >> (best % 64).astype(np.uint64)) & np.uint64(1)
                 values = (bits.astype(np.int64) << np.arange(width)[None, :, None]).sum(1) + low
-                found.append((np.full(best.size, query), ids[best], weights @ values))
-        q, v, s = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
+                found.append((np.full(best.size, row), np.full(best.size, query), ids[best], weights @ values))
+        columns = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        return pa.table({name: pa.array(c, pa.int64()) for name, c in zip(("asked", "query_id", "vec_id", "score"), columns)})
 
     numbers = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))
-    sliced = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).groupBy("block").applyInArrow(index, CHUNK)
-    sliced = sliced.drop("grp").withColumn("grp", numbers(groups)).select("block", "grp", "ids", "slices")
-    asked = queries.groupBy("vec_id").agg(F.min("q").alias("q")).withColumn("grp", F.pmod(F.xxhash64("vec_id"), F.lit(groups))).withColumn("block", numbers(blocks))
-    found = sliced.groupBy("block", "grp").cogroup(asked.select("block", "grp", "vec_id", "q").groupBy("block", "grp")).applyInArrow(search, FOUND)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    sliced = vectors.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInArrow(index, CHUNK)
+    sliced = sliced.withColumn("grp", numbers(groups)).select("block", "grp", "ids", "numbers", "slices")
+    asked = vectors.where(queries).withColumn("grp", F.pmod(F.xxhash64("row"), F.lit(groups))).withColumn("block", numbers(blocks))
+    found = sliced.groupBy("block", "grp").cogroup(asked.select("block", "grp", "row", "vec_id", "q").groupBy("block", "grp")).applyInArrow(search, FOUND)
+    rank = F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -184,18 +195,18 @@ def _subtracted(span: int, value: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 def op3_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = quantised(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
-    return top_k(vectors, vectors.where(F.pmod("vec_id", F.lit(EVERY)) == 0), TOP_K)
+    return top_k(vectors, F.pmod("vec_id", F.lit(EVERY)) == 0, TOP_K)
 
 
 OP3_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id
-), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
+  SELECT a.r, a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.r <> b.r
+), t AS (
+  SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
 )
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
 """
