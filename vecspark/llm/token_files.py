@@ -1,17 +1,19 @@
 """Token-id files with keyed access through minimal perfect hashes.
 
-`write_tokens` sorts documents by doc_id and writes containers: rows of a Parquet folder that each hold the raw
-little-endian ids of some MB of text (payload: uint16 where the vocabulary allows, else uint32), the lengths of its
-documents and their keys. `write_index` maps each distinct doc_id to (ordinal of its first row, number of its rows):
-keys are dealt by hash to buckets of bounded size, and every bucket is a minimal perfect hash of cascaded bit arrays
-(keys that collide at a level go to the next one) with a 32-bit fingerprint stored by slot. A key is found by its
-bucket, at most a few bit probes, one rank and one fingerprint comparison: constant time, whatever the corpus.
+`write_tokens` sorts documents by doc_id and writes containers: rows of a Parquet folder, each a row group of its own, that
+hold the raw little-endian ids of some MB of text (payload: uint16 where the vocabulary allows, else uint32), the lengths
+of its documents and their keys. `write_index` maps each distinct doc_id to the place of its first row: container, offset
+and length in ids, ordinal in all files, and the number of its rows. Keys are dealt by hash to buckets of bounded size,
+and every bucket is a minimal perfect hash of cascaded bit arrays (keys that collide at a level go to the next one) with a
+32-bit fingerprint stored by slot. A key is found by its bucket, at most a few bit probes, one rank and one fingerprint
+comparison: constant time, whatever the corpus. `fetch` reads the ids of some keys from their containers alone.
 Spark writes and commits all files, so lost executors leave no half-written ones, and any Spark-readable store serves.
 
 Edge cases: a null text has no ids but the end id; a null doc_id is kept under the smallest long; rows that repeat a
-doc_id are all kept, side by side, in order of a hash of their texts; an absent key is reported as not found (a wrong
-match needs a 32-bit fingerprint collision and is settled by `verify`, which compares stored keys); an empty table
-gives empty files and an empty result; extra columns are ignored. A text of any length stays in one container.
+doc_id are all kept, side by side, in order of a hash of their texts, and may lie in several containers; an absent key is
+reported as not found (a fingerprint that agrees by accident is settled by the keys stored with the ids, which `verified`
+and `fetch` compare); an empty table gives empty files and an empty result; extra columns are ignored. A text of any
+length stays in one container.
 """
 
 from __future__ import annotations
@@ -37,7 +39,8 @@ MEMO_UNITS = 600_000  # of a worker; about 100 MB
 ENCODE_UNITS = 16_384  # in one call of the library
 CHUNKS = 1 << 24  # containers of a partition at most
 CONTAINERS = "container long, part int, n_docs long, n_tokens long, keys binary, lengths binary, payload binary"
-INDEX = "bucket long, n_keys long, level_bits binary, levels binary, prints binary, ordinals binary, counts binary"
+PLACE = ("ordinal", "container", "offset", "length", "n")
+INDEX = "bucket long, n_keys long, level_bits binary, levels binary, prints binary, places binary"
 
 
 # --- tokens
@@ -126,7 +129,7 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = END_ID) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared.value)
         part = TaskContext.get().partitionId()
-        for chunk, batch in enumerate(slices(batches, "text", CONTAINER_BYTES)):
+        for chunk, batch in enumerate(slices(batches, "text", max_bytes=CONTAINER_BYTES)):
             ids, offsets = encoder.batch(batch.column("text"))
             closed = np.insert(ids, offsets[1:], end_id)
             lengths = np.diff(offsets) + 1
@@ -138,9 +141,11 @@ def write_tokens(docs: DataFrame, spec: str, path: str, end_id: int = END_ID) ->
                 "payload": [closed.astype("<u2" if narrow else "<u4").tobytes()],
             })
 
-    ordered = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY).cast("long")).alias("k"), "text").repartitionByRange("k")
-    ordered = ordered.sortWithinPartitions("k", F.xxhash64("text"))
-    ordered.mapInArrow(run, CONTAINERS).write.option("compression", "zstd").parquet(path)
+    ordered = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY).cast("long")).alias("k"), "text")
+    ordered = ordered.repartitionByRange("k", F.xxhash64("text")).sortWithinPartitions("k", F.xxhash64("text"))
+    # each container is a row group, so that one can be read alone
+    groups = {"parquet.block.size": 1024, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1}
+    ordered.mapInArrow(run, CONTAINERS).write.option("compression", "zstd").options(**groups).parquet(path)
 
 
 def container_starts(containers: DataFrame) -> DataFrame:
@@ -154,23 +159,30 @@ def container_starts(containers: DataFrame) -> DataFrame:
     return small.join(parts, "part").select("container", (F.col("d0") + F.col("d")).alias("first_ordinal"), (F.col("t0") + F.col("t")).alias("first_token"))
 
 
+def _payload(payload: pa.Scalar, lengths: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a container, and the place of each of its documents in them."""
+    n = np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
+    at = np.append(0, np.cumsum(n))
+    width = payload.as_buffer().size // max(1, int(at[-1]))
+    return np.frombuffer(payload.as_buffer(), f"<u{width}" if n.size else "<u4"), at
+
+
 def read_rows(containers: DataFrame) -> DataFrame:
-    """(container, slot, at, n_tokens, ids_crc32) of every row of the payloads; no shuffle."""
+    """(k, container, slot, at, n_tokens, ids_crc32) of every row of the payloads; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for container, lengths, payload in zip(*(batch.column(c) for c in ("container", "lengths", "payload"))):
-                n = np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
-                width = payload.as_buffer().size // max(1, int(n.sum()))
-                ids = np.frombuffer(payload.as_buffer(), f"<u{width}" if n.size else "<u4").astype("<u4")
-                at = np.append(0, np.cumsum(n))
+            for container, keys, lengths, payload in zip(*(batch.column(c) for c in ("container", "keys", "lengths", "payload"))):
+                ids, at = _payload(payload, lengths)
+                ids = ids.astype("<u4")
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), at[1:].tolist())]
+                k = np.frombuffer(keys.as_buffer(), "<i8")
                 yield pa.RecordBatch.from_pydict({
-                    "container": pa.array(np.full(n.size, container.as_py()), pa.int64()), "slot": pa.array(np.arange(n.size), pa.int64()),
-                    "at": pa.array(at[:-1], pa.int64()), "n_tokens": pa.array(n, pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
+                    "k": pa.array(k), "container": pa.array(np.full(k.size, container.as_py()), pa.int64()), "slot": pa.array(np.arange(k.size), pa.int64()),
+                    "at": pa.array(at[:-1], pa.int64()), "n_tokens": pa.array(np.diff(at), pa.int64()), "ids_crc32": pa.array(crc, pa.int64()),
                 })
 
-    return containers.select("container", "lengths", "payload").mapInArrow(run, "container long, slot long, at long, n_tokens long, ids_crc32 long")
+    return containers.select("container", "keys", "lengths", "payload").mapInArrow(run, "k long, container long, slot long, at long, n_tokens long, ids_crc32 long")
 
 
 # --- the minimal perfect hash
@@ -223,42 +235,83 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> int:
 
     def keys_of(batches):
         for batch in batches:
-            for first, keys in zip(batch.column("first_ordinal").to_pylist(), batch.column("keys")):
-                k = np.frombuffer(keys.as_buffer(), "<i8")
-                yield pa.RecordBatch.from_pydict({"k": pa.array(k), "ordinal": pa.array(first + np.arange(k.size), pa.int64())})
+            for first, container, keys, lengths in zip(batch.column("first_ordinal").to_pylist(), batch.column("container").to_pylist(), batch.column("keys"), batch.column("lengths")):
+                k, n = np.frombuffer(keys.as_buffer(), "<i8"), np.frombuffer(lengths.as_buffer(), "<u4").astype(np.int64)
+                offset = np.cumsum(n) - n
+                yield pa.RecordBatch.from_pydict({"k": pa.array(k), "ordinal": pa.array(first + np.arange(k.size), pa.int64()), "container": pa.array(np.full(k.size, container)), "offset": pa.array(offset), "length": pa.array(n)})
 
     def index(pdf: pd.DataFrame) -> pd.DataFrame:
         keys = pdf["k"].to_numpy(np.int64)
         bits, sizes = build_mph(keys)
-        slot = mph_slots(bits, sizes, keys)
-        at = np.argsort(slot)
-        row = (pdf["bucket"].iloc[0], keys.size, np.packbits(bits).tobytes(), np.array(sizes, "<i8").tobytes(), key_prints(keys)[at].tobytes(),
-               pdf["ordinal"].to_numpy()[at].astype("<i8").tobytes(), pdf["n"].to_numpy()[at].astype("<i8").tobytes())
-        return pd.DataFrame([row], columns=["bucket", "n_keys", "level_bits", "levels", "prints", "ordinals", "counts"])
-
-    placed = containers.select("container", "keys").join(container_starts(containers), "container").select("first_ordinal", "keys")
-    keys = placed.mapInArrow(keys_of, "k long, ordinal long").groupBy("k").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("n"))
+        at = np.argsort(mph_slots(bits, sizes, keys))
+        places = pdf[list(PLACE)].to_numpy(np.int64)[at].astype("<i8")
+        row = (pdf["bucket"].iloc[0], keys.size, np.packbits(bits).tobytes(), np.array(sizes, "<i8").tobytes(), key_prints(keys)[at].tobytes(), places.tobytes())
+        return pd.DataFrame([row], columns=["bucket", "n_keys", "level_bits", "levels", "prints", "places"])
+
+    placed = containers.select("container", "keys", "lengths").join(container_starts(containers), "container")
+    keys = placed.mapInArrow(keys_of, "k long, ordinal long, container long, offset long, length long").groupBy("k")
+    keys = keys.agg(F.min(F.struct("ordinal", "container", "offset", "length")).alias("x"), F.count(F.lit(1)).alias("n")).select("k", "x.*", "n")
     keys.withColumn("bucket", _bucket(F.col("k"), buckets)).groupBy("bucket").applyInPandas(index, INDEX).write.parquet(index_path)
     return buckets
 
 
+def find_keys(keys: np.ndarray, entry) -> tuple[np.ndarray, np.ndarray]:
+    """Those of int64 keys that one bucket's entry of the index has, and their places (a row of PLACE each)."""
+    sizes = np.frombuffer(entry["levels"], "<i8").tolist()
+    bits = np.unpackbits(np.frombuffer(entry["level_bits"], np.uint8), count=sum(sizes)).astype(bool)
+    slot = mph_slots(bits, sizes, keys)
+    known = (slot >= 0) & (np.frombuffer(entry["prints"], "<u4")[np.maximum(slot, 0)] == key_prints(keys))
+    return keys[known], np.frombuffer(entry["places"], "<i8").reshape(-1, len(PLACE))[slot[known]]
+
+
 def lookup(keys: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
-    """(k, ordinal, n) of the keys (column k) that the index has; keys are dealt to buckets of bounded size."""
+    """(k, ordinal, container, offset, length, n) of the keys (column k) that the index has; keys are dealt to buckets of bounded size."""
 
     def find(_, own: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        keys = own["k"].to_numpy(np.int64)
-        if not len(entry) or not keys.size:
-            return pd.DataFrame({"k": [], "ordinal": [], "n": []})
-        e = entry.iloc[0]
-        sizes = np.frombuffer(e["levels"], "<i8").tolist()
-        bits = np.unpackbits(np.frombuffer(e["level_bits"], np.uint8), count=sum(sizes)).astype(bool)
-        slot = mph_slots(bits, sizes, keys)
-        known = (slot >= 0) & (np.frombuffer(e["prints"], "<u4")[np.maximum(slot, 0)] == key_prints(keys))
-        slot = slot[known]
-        return pd.DataFrame({"k": keys[known], "ordinal": np.frombuffer(e["ordinals"], "<i8")[slot], "n": np.frombuffer(e["counts"], "<i8")[slot]})
+        keys, places = own["k"].to_numpy(np.int64), np.empty((0, len(PLACE)), np.int64)
+        keys, places = find_keys(keys, entry.iloc[0]) if len(entry) and keys.size else (keys[:0], places)
+        return pd.DataFrame({"k": keys, **{c: places[:, j] for j, c in enumerate(PLACE)}})
 
     own = keys.select("k").distinct().withColumn("bucket", _bucket(F.col("k"), buckets))
-    return own.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "k long, ordinal long, n long")
+    return own.groupBy("bucket").cogroup(index.groupBy("bucket")).applyInPandas(find, "k long, ordinal long, container long, offset long, length long, n long")
+
+
+def verified(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """rows (k, ordinal, ..., of `read_rows`) that found (of `lookup`) points to: of the same key, within the places of its rows."""
+    places = found.select("k", F.col("ordinal").alias("first"), "n")
+    return rows.join(places, "k").where((F.col("ordinal") >= F.col("first")) & (F.col("ordinal") < F.col("first") + F.col("n"))).drop("first", "n")
+
+
+def fetch(spark: SparkSession, path: str, index_path: str, buckets: int, keys: list[int | None]) -> dict[int | None, np.ndarray]:
+    """The ids of the first row of each key that is there; for as many keys as the driver can hold ids of.
+
+    Reads the index entries of the keys' buckets and the containers they point to, by filters that Parquet applies."""
+    wanted = spark.createDataFrame([(NULL_KEY if k is None else k,) for k in dict.fromkeys(keys)], "k long").withColumn("bucket", _bucket(F.col("k"), buckets))
+    asked: dict[int, list[int]] = {}
+    for r in wanted.collect():  # as many as keys
+        asked.setdefault(r.bucket, []).append(r.k)
+    places = {}
+    for entry in spark.read.parquet(index_path).where(F.col("bucket").isin(list(asked))).toLocalIterator():
+        found, at = find_keys(np.array(asked[entry["bucket"]], np.int64), entry)
+        places.update(zip(found.tolist(), at.tolist()))
+    by_container: dict[int, list[tuple[int, list[int]]]] = {}
+    for k, place in places.items():
+        by_container.setdefault(place[PLACE.index("container")], []).append((k, place))
+    out = {}
+    for row in containers_of(spark, path, list(by_container)).toLocalIterator():
+        stored, n = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["lengths"], "<u4").astype(np.int64)
+        ids = np.frombuffer(row["payload"], f"<u{len(row['payload']) // int(n.sum())}")
+        begins = np.cumsum(n) - n
+        for k, place in by_container[row["container"]]:
+            offset, length = place[PLACE.index("offset")], place[PLACE.index("length")]
+            if stored[np.searchsorted(begins, offset)] == k:  # else a fingerprint agreed by accident
+                out[None if k == NULL_KEY else k] = ids[offset : offset + length].astype(np.uint32)
+    return out
+
+
+def containers_of(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    """The containers of these numbers; row groups of others are not read."""
+    return spark.read.parquet(path).where(F.col("container").isin(numbers)).select("container", "keys", "lengths", "payload")
 
 
 def tokenizer_spec(path: str | None = None) -> str:
@@ -277,7 +330,6 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     buckets = write_index(spark, path, index_path)
     containers = spark.read.parquet(path)
     found = lookup(docs.select(F.coalesce("doc_id", F.lit(NULL_KEY).cast("long")).alias("k")), spark.read.parquet(index_path), buckets)
-    found = found.select("k", F.explode(F.sequence("ordinal", F.col("ordinal") + F.col("n") - 1)).alias("ordinal"))
     rows = read_rows(containers).join(container_starts(containers), "container")
-    rows = rows.select((F.col("first_ordinal") + F.col("slot")).alias("ordinal"), (F.col("first_token") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
-    return found.join(rows, "ordinal").select(F.when(F.col("k") != NULL_KEY, F.col("k")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    rows = rows.select("k", (F.col("first_ordinal") + F.col("slot")).alias("ordinal"), (F.col("first_token") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+    return verified(found, rows).select(F.when(F.col("k") != NULL_KEY, F.col("k")).alias("doc_id"), "start", "n_tokens", "ids_crc32")
