@@ -6,7 +6,8 @@ two 32-bit lanes each, right above the generated term rows and before any exchan
 
 `neighbours` finds all pairs of distinct fingerprints within a Hamming radius: the 64 bits are cut into blocks, and a
 table is kept for every choice of blocks - radius blocks, permuted to the front as its key; two fingerprints within
-the radius agree in all bits of at least one such choice, so the search is exact.
+the radius agree in all bits of at least one such choice, so the search is exact. Copies meet as one fingerprint. `op7`
+counts by it, for each document, the other fingerprints of the table within RADIUS bits (n_near).
 
 Edge cases: a null text counts as empty; a text without words has fingerprint 0; equal texts have equal fingerprints;
 rows that repeat a doc_id share the next document, which is the least text of the next larger doc_id, and each gives
@@ -26,6 +27,7 @@ from vecspark.llm.common import cut, table
 MAX_WEIGHT = 16
 BITS = 64
 LANES = 32
+RADIUS = 3
 GAP = r"[\x20\x09-\x0D]+"
 FIRST_KEY = -(2**63)
 
@@ -80,7 +82,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return votes.select("doc_id", fp.alias("fingerprint"), "n").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).drop("n")
 
 
-def neighbours(prints: DataFrame, radius: int = 3, blocks: int | None = None) -> DataFrame:
+def neighbours(prints: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(a, b, distance) for all distinct fingerprints a < b of prints (fingerprint long) within the radius, without a cap.
 
     Documents join the pairs by their fingerprint, so copies are never expanded into pairs."""
@@ -97,6 +99,13 @@ def neighbours(prints: DataFrame, radius: int = 3, blocks: int | None = None) ->
     return pairs.where(F.col("distance") <= radius).select("a", "b", "distance").distinct()
 
 
+def near_counts(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n_near): the number of other distinct fingerprints within the radius, of those that have any."""
+    pairs = neighbours(prints, radius)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("fingerprint"))
+    return ends.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_near"))
+
+
 def succession(docs: DataFrame) -> DataFrame:
     """(k, next_k, prev_k, prev_n) of each distinct doc_id: its neighbours in ascending order, the last followed by the first."""
     key = F.coalesce(F.col("doc_id"), F.lit(FIRST_KEY).cast("long"))
@@ -149,10 +158,11 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     out = cut(votes.select("k", "n_chars", "edited_sha256", "row", "next_row", fp("a").alias("fp"), fp("b").alias("edited_fp"), "n_rows"))
     # the next document's fingerprint: of rows that repeat a doc_id, that of the text whose head was taken
     texts = out.select(F.col("k").alias("next_k"), F.col("row").alias("next_row"), F.col("fp").alias("next_fp")).distinct()
-    out = out.join(order.select("k", "next_k"), "k").join(texts, ["next_k", "next_row"])
+    near = near_counts(out.select(F.col("fp").alias("fingerprint"))).withColumnRenamed("fingerprint", "fp")
+    out = out.join(order.select("k", "next_k"), "k").join(texts, ["next_k", "next_row"]).join(near, "fp", "left")
     out = out.select(
         F.when(F.col("k") != FIRST_KEY, F.col("k")).alias("doc_id"), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("edited_fp")).alias("edited_fingerprint"),
-        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
+        likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
         F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("copy"),
     )
     return out.drop("copy")
