@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import functools
 
-import corpus_pipeline
-
 from vecspark.llm.bit_sliced import OP3_SQL, op3_top_k
 from vecspark.llm.common import ship_package
 from vecspark.llm.html_extract import op10_html
@@ -39,7 +37,6 @@ _QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_mixing": op9_mixing,
     "op10_html": op10_html,
-    "pipeline": corpus_pipeline.run,
 }
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
