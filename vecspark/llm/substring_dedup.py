@@ -3,11 +3,12 @@
 A window is WINDOW consecutive words of one document. Every word covered by a window that also starts earlier (smaller
 doc_id, or same document and earlier start) goes.
 
-Documents are dealt by a hash of doc_id to batches of some MB. Two rounds of questions find where to look:
+Documents are dealt by a hash of doc_id to batches of about BATCH_BYTES of text. Two rounds of questions find where to look:
  1. every batch asks which of its anchors (the least hash of ANCHOR words in each window) other batches have as well;
  2. of windows with such anchors it asks for the smallest doc_id that has the window: its owner.
 Questions are sets of hashes, distinct within a batch, so a passage that a third of all documents share costs one entry
-a batch. Owners then hand out the reference passages that others need. Each batch builds a suffix automaton of the
+a batch. Owners then hand out the reference passages that others need, by a join that can be split where many batches
+need one owner. Each batch builds a suffix automaton of the
 reference passages it needs, streams its documents' candidate runs through it, and takes from the matching statistics
 the maximal spans of at least WINDOW words whose first place in the references is earlier. The automaton compares words,
 not hashes, so an accidental equality of hashes removes nothing.
@@ -16,9 +17,10 @@ The references of a whole corpus grow with it, so their automata are not broadca
 it needs. All rounds are one query over one exchange of the texts.
 
 Edge cases: null and empty texts have no words and are kept as they are; a document shorter than a window loses
-nothing; texts are read whole, of any length; windows may repeat and overlap within one document; rows that repeat a
-doc_id are ordered by their texts and count as one after the other; a null doc_id stands for the smallest long; an empty
-table gives an empty result; other columns pass through `remove_repeats` (names that start with _sub_ are reserved).
+nothing; texts are read whole, of any length (a longer text than a batch makes a larger batch); windows may repeat and
+overlap within one document; rows that repeat a doc_id are ordered by their texts and count as one after the other, and
+are in one batch; rows without doc_id come before all others, in order of a hash of their texts, and are dealt by it
+(doc_ids below -2 ** 62 fall among them); an empty table gives an empty result; other columns pass through `remove_repeats` (names that start with _sub_ are reserved).
 """
 
 from __future__ import annotations
@@ -32,17 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecspark.llm.common import distinct_spans, ragged, span_hashes, table, text_bytes, words_of
+from vecspark.llm.common import distinct_spans, mix64, ragged, span_hashes, table, text_bytes, words_of
 from vecspark.llm.suffix_automaton import SuffixAutomaton
 
 WINDOW, ANCHOR = 20, 12
-BATCH_DOCS = 256
+BATCH_BYTES = 900_000
 BUCKET_ENTRIES = 196_608
-SALTS = 4
 NULL_KEY = -(2**63)
 ASKED = "_sub_r int, _sub_b long, _sub_keys binary, _sub_docs binary"
 ANSWER = "_sub_b long, _sub_kind int, _sub_r int, _sub_bits binary, _sub_owners binary, _sub_index binary, _sub_text binary"
-LINE = "_sub_o long, _sub_salt int, _sub_to long, _sub_starts binary, _sub_text binary"
+LINE = "_sub_o long, _sub_to long, _sub_starts binary, _sub_text binary"
 
 
 def _column(t: pa.Table, name: str) -> pa.Array:
@@ -66,7 +67,7 @@ class Batch:
 
     @cached_property
     def anchor(self) -> np.ndarray:
-        """The least hash of ANCHOR words in each window."""
+        """The least hash of ANCHOR words in each window, mixed again so that anchors spread evenly over the buckets."""
         if not self.at.size:
             return np.empty(0, np.uint64)
         grams = self.word.size - ANCHOR + 1
@@ -75,7 +76,7 @@ class Batch:
         while 2 * width <= span:  # least of ever wider spans
             low = np.minimum(low[:-width], low[width:])
             width *= 2
-        return np.minimum(low[: low.size - (span - width)], low[span - width :])[self.at]
+        return mix64(np.minimum(low[: low.size - (span - width)], low[span - width :])[self.at])
 
     @cached_property
     def _windows(self) -> tuple[np.ndarray, ...]:
@@ -142,20 +143,20 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _bits(answers: pa.Table, kind: int, asked: np.ndarray, buckets: int) -> np.ndarray:
     """The answers' bits for the sorted hashes that were asked."""
     out = np.zeros(asked.size, bool)
-    edges = np.searchsorted(_bucket(asked, buckets), np.arange(buckets + 1))
+    bucket = _bucket(asked, buckets)
     for row in _rows(answers, kind):
-        a, b = edges[row["_sub_r"]], edges[row["_sub_r"] + 1]
+        a, b = np.searchsorted(bucket, [row["_sub_r"], row["_sub_r"] + 1]).tolist()
         out[a:b] = np.unpackbits(np.frombuffer(row["_sub_bits"], np.uint8), count=b - a)
     return out
 
 
 def _questions(b: int, hashes: np.ndarray, docs: np.ndarray | None, buckets: int) -> pa.Table:
-    edges = np.searchsorted(_bucket(hashes, buckets), np.arange(buckets + 1)).tolist()
-    used = [r for r in range(buckets) if edges[r] < edges[r + 1]]
+    used, begin = np.unique(_bucket(hashes, buckets), return_index=True)  # of the sorted hashes only buckets in use
+    spans = list(zip(begin.tolist(), [*begin[1:].tolist(), hashes.size]))
     return pa.table({
-        "_sub_r": pa.array(used, pa.int32()), "_sub_b": pa.array([b] * len(used), pa.int64()),
-        "_sub_keys": pa.array([hashes[edges[r] : edges[r + 1]].tobytes() for r in used], pa.binary()),
-        "_sub_docs": pa.array([b"" if docs is None else docs[edges[r] : edges[r + 1]].tobytes() for r in used], pa.binary()),
+        "_sub_r": pa.array(used, pa.int32()), "_sub_b": pa.array([b] * used.size, pa.int64()),
+        "_sub_keys": pa.array([hashes[x:y].tobytes() for x, y in spans], pa.binary()),
+        "_sub_docs": pa.array([b"" if docs is None else docs[x:y].tobytes() for x, y in spans], pa.binary()),
     })
 
 
@@ -211,12 +212,12 @@ def _references(batch: Batch, answers: pa.Table, buckets: int, b: int) -> pa.Tab
             base = batch.first[np.searchsorted(batch.keys, k)]
             packed = np.column_stack([begin[mine] - base, size[mine]]).astype("<i8").tobytes()
             joined = text[at[mine[0]] : at[mine[-1] + 1]]
-            lines.append((k, -1, None, packed, joined))
+            lines.append((k, None, packed, joined))
     need = np.unique(owner[shared & ~ours]) if owner.size else np.empty(0, np.int64)
-    lines += [(o, b % SALTS, b, b"", b"") for o in need.tolist()]
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    columns = list(zip(*lines)) or [()] * 5
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("_sub_o", "_sub_salt", "_sub_to", "_sub_starts", "_sub_text"), columns, types)})
+    lines += [(o, b, b"", b"") for o in need.tolist()]
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    columns = list(zip(*lines)) or [()] * 4
+    return pa.table({n: pa.array(c, t) for n, c, t in zip(("_sub_o", "_sub_to", "_sub_starts", "_sub_text"), columns, types)})
 
 
 def removed_words(batch: Batch, answers: pa.Table, buckets: int) -> np.ndarray:
@@ -242,7 +243,7 @@ def removed_words(batch: Batch, answers: pa.Table, buckets: int) -> np.ndarray:
     refs = [(k, a, n, None, s) for k, a, n, s in zip(batch.keys[batch.doc[own_begin]].tolist(), (own_begin - base).tolist(), own_size.tolist(), own_begin.tolist())]
     far, far_at = [], 0
     for row in _rows(answers, 3):
-        k = int(np.frombuffer(row["_sub_owners"], "<i8")[0])
+        k = int.from_bytes(row["_sub_owners"], "big", signed=True)
         for a, n in np.frombuffer(row["_sub_index"], "<i8").reshape(-1, 2).tolist():
             refs.append((k, a, n, far_at, None))
             far_at += n
@@ -283,15 +284,16 @@ def removed_words(batch: Batch, answers: pa.Table, buckets: int) -> np.ndarray:
 
 
 def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
-    n = docs.count()
-    key = F.coalesce(F.col("doc_id"), F.lit(NULL_KEY).cast("long"))
-    return docs.withColumn("_sub_k", key).withColumn("_sub_b", F.pmod(F.xxhash64("_sub_k"), F.lit(max(1, -(-n // BATCH_DOCS))))), n
+    """docs with _sub_k, which orders documents, and _sub_b, their batch; and the bytes of all texts."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    unnamed = F.lit(NULL_KEY).cast("long") + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    docs = docs.withColumn("_sub_k", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    return docs.withColumn("_sub_b", F.pmod(F.xxhash64("_sub_k"), F.lit(max(1, -(-size // BATCH_BYTES))))), size
 
 
-def _find(docs: DataFrame, emit, schema: str) -> DataFrame:
-    """Run the rounds over docs (with _sub_k, _sub_b and text) and give emit(batch, removed mask) of each batch."""
-    n = docs.count()
-    buckets = max(1, -(-n * 100 // BUCKET_ENTRIES))  # some 100 anchors a document
+def _find(docs: DataFrame, size: int, emit, schema) -> DataFrame:
+    """Run the rounds over docs (with _sub_k, _sub_b and text; size: bytes of all texts) and give emit(batch, removed mask) of each batch."""
+    buckets = max(1, -(-size // 32 // BUCKET_ENTRIES))  # some 30 bytes of text an anchor
     dealt = docs.groupBy("_sub_b")
 
     def ask(key, t):
@@ -312,19 +314,13 @@ def _find(docs: DataFrame, emit, schema: str) -> DataFrame:
         return _references(Batch(t), answers, buckets, key[0].as_py())
 
     lines = dealt.cogroup(known.groupBy("_sub_b")).applyInArrow(references, LINE)
-    # a needed document's passages go to every salt, so that one that all batches need is handed out by many tasks
-    lines = lines.withColumn("_sub_salt", F.explode(F.when(F.col("_sub_salt") >= 0, F.array("_sub_salt")).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
-
-    def hand_out(key, t):
-        to = t.column("_sub_to").to_pylist()
-        give = [k for k, x in enumerate(to) if x is None]
-        if not give:
-            return _answers([])
-        o = np.array([key[0].as_py()], "<i8").tobytes()
-        starts, text = t.column("_sub_starts")[give[0]].as_py(), t.column("_sub_text")[give[0]].as_py()
-        return _answers([(b, 3, 0, b"", o, starts, text) for b in to if b is not None])
-
-    handed = lines.groupBy("_sub_o", "_sub_salt").applyInArrow(hand_out, ANSWER)
+    given = lines.where("_sub_to IS NULL").select("_sub_o", "_sub_starts", "_sub_text")
+    handed = lines.where("_sub_to IS NOT NULL").select("_sub_o", F.col("_sub_to").alias("_sub_b")).join(given, "_sub_o")
+    empty = F.lit(b"")
+    handed = handed.select(
+        "_sub_b", F.lit(3).alias("_sub_kind"), F.lit(0).alias("_sub_r"), empty.alias("_sub_bits"), F.unhex(F.lpad(F.hex("_sub_o"), 16, "0")).alias("_sub_owners"),
+        F.col("_sub_starts").alias("_sub_index"), "_sub_text",
+    )
 
     def finish(key, t, answers):
         batch = Batch(t)
@@ -344,10 +340,6 @@ def _kept(batch: Batch, gone: np.ndarray) -> tuple[bytes, np.ndarray]:
     return out.tobytes(), np.append(0, ends)[np.searchsorted(word, batch.first)]
 
 
-def _real(keys: np.ndarray) -> pa.Array:
-    return pa.array(keys, pa.int64(), mask=keys == NULL_KEY)
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of each row of docs (doc_id, text)."""
 
@@ -355,10 +347,10 @@ def digests(docs: DataFrame) -> DataFrame:
         text, at = _kept(batch, gone)
         removed = np.append(0, np.cumsum(gone))[batch.first]
         sha = [hashlib.sha256(text[a : max(a, b - 1)]).hexdigest() for a, b in zip(at.tolist(), at[1:].tolist())]
-        return pa.table({"doc_id": _real(batch.keys), "n_words": pa.array(np.diff(batch.first), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+        return pa.table({"doc_id": batch.docs.column("doc_id"), "n_words": pa.array(np.diff(batch.first), pa.int64()), "n_removed": pa.array(np.diff(removed), pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
-    dealt, _ = _dealt(docs.select("doc_id", "text"))
-    return _find(dealt.select("_sub_b", "_sub_k", "text"), emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    dealt, size = _dealt(docs.select("doc_id", "text"))
+    return _find(dealt, size, emit, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -373,8 +365,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         new = [text[a : max(a, b - 1)].decode() if x else o for x, a, b, o in zip(lost.tolist(), at.tolist(), at[1:].tolist(), old)]
         return pa.table({c: pa.array(new, pa.string()) if c == "text" else batch.docs.column(c) for c in columns})
 
-    dealt, _ = _dealt(docs)
-    return _find(dealt, emit, docs.schema)
+    dealt, size = _dealt(docs)
+    return _find(dealt, size, emit, docs.schema)
 
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
