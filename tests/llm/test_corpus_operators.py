@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from vecspark.llm import bit_sliced, html_extract, minhash, mixing, sentencepiece_bpe, simhash, substring_dedup, suffix_automaton, token_files, toxicity
+from vecspark.llm import bit_sliced, html_dom, html_extract, labelled, minhash, mixing, quality, sentencepiece_bpe, simhash, substring_dedup, suffix_automaton, token_files, toxicity
 from vecspark.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,9 +80,9 @@ def brute_substring(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("batch", [4, 256])
+@pytest.mark.parametrize("batch", [3_000, 900_000])
 def test_substring_matches_brute_force(docs, empty, monkeypatch, batch):
-    monkeypatch.setattr(substring_dedup, "BATCH_DOCS", batch)
+    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", batch)
     have = sorted((key(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.digests(docs).collect())
     assert have == brute_substring(corpus())
     assert substring_dedup.digests(empty).count() == 0
@@ -142,6 +142,30 @@ def test_a_large_group_of_near_copies(spark):
     assert have == brute_components(rows, 3, Fraction(85, 100))
 
 
+def test_groups_far_from_their_root_and_across_roots(spark):
+    """Variants of one text, each with many near copies; truncated copies; and two texts that share half."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    other = base[:80] + [f"o{i}" for i in range(70)]
+    rows = []
+
+    def edited(words, n, tag):
+        t = words[:]
+        for _ in range(n):
+            t[rng.randrange(len(t))] = f"{tag}{rng.randrange(10**6)}"
+        return t
+
+    sources = [base, other, *(edited(base, 12, f"v{k}") for k in range(3))]
+    for s in sources:
+        rows += [edited(s, rng.randint(0, 5), "e") for _ in range(40)]
+    rows += [base[: 150 - n] for n in range(1, 60, 3)] + [base[n:] for n in range(1, 60, 4)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width, sim in ((3, Fraction(85, 100)), (5, Fraction(4, 5))):
+        have = sorted((r.k, r.n, r.component) for r in minhash.near_components(df, width, sim).collect())
+        assert have == brute_components(rows, width, sim)
+
+
 def test_deduplicate(docs, empty):
     out = minhash.deduplicate(docs)
     assert out.columns == docs.columns
@@ -180,15 +204,23 @@ def test_top_k_matches_brute_force(spark):
     rows += [(1000, None, 0), (1020, [1.0, None, 0.0, 0.0, 0.0, 0.0], 0), (1040, [float("nan")] * 6, 0), (1060, [float("inf")] + [0.0] * 5, 0), (40, rows[40][1], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int")
     v = bit_sliced.quantised(df)
-    have = sorted(tuple(r) for r in bit_sliced.top_k(v, v.where("vec_id % 20 = 0"), 20).collect())
+    have = sorted(tuple(r) for r in bit_sliced.top_k(v, F.col("vec_id") % 20 == 0, 20).collect())
     fine = [(i, np.floor(64 * np.array(e)).astype(int)) for i, e, _ in rows if e and all(c is not None and np.isfinite(c) for c in e)]
     want = []
-    for q, x in {i: x for i, x in fine if i % 20 == 0}.items():
-        best = sorted((-int(x @ y), i) for i, y in fine if i != q)[:20]
-        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    for n, (q, x) in enumerate(fine):
+        if q % 20 == 0:  # each row is a query, and rows that repeat its id are candidates
+            best = sorted((-int(x @ y), i) for m, (i, y) in enumerate(fine) if m != n)[:20]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert have == sorted(want)
-    assert bit_sliced.top_k(v.where("false"), v.where("false"), 20).count() == 0
-    assert bit_sliced.top_k(v.where("vec_id < 3"), v.where("vec_id = 0"), 20).count() == 2
+    every = F.col("vec_id") % 20 == 0
+    assert bit_sliced.top_k(v.where("false"), every, 20).count() == 0
+    assert bit_sliced.top_k(v.where("vec_id < 3"), every, 20).count() == 2
+    same = spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.5, 0.5]), (1, [0.25, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted(tuple(r) for r in bit_sliced.top_k(bit_sliced.quantised(same), every, 20).collect()) == [(20, 1, 1, 2560), (20, 1, 20, 2048), (20, 2, 1, 1024), (20, 2, 20, 2048)]
+    for big in (4e16, 1e300):
+        large = spark.createDataFrame([(20, [big, 1.0]), (1, [-big, 2.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="64 bits"):
+            bit_sliced.top_k(bit_sliced.quantised(large), every, 20)
 
 
 # --- op 4 and 6
@@ -246,11 +278,34 @@ def test_token_files_round_trip(spark, docs, empty):
     index = spark.read.parquet(index_path)
     found = {r.k: (r.ordinal, r.n) for r in token_files.lookup(spark.createDataFrame([(k,) for k in {*keys, 1, 2}], "k long"), index, buckets).collect()}
     assert found == {k: (keys.index(k), keys.count(k)) for k in set(keys)}
+    assert token_files.verified(token_files.lookup(spark.createDataFrame([(k,) for k in keys], "k long"), index, buckets), rows.withColumn("ordinal", F.col("first_ordinal") + F.col("slot"))).count() == len(keys)
+    by_key = collections.defaultdict(list)
+    for r in corpus():
+        by_key[r[0]].append(tokenizer.encode(r[1] or "", add_special_tokens=False).ids + [1])
+    got = token_files.fetch(spark, path, index_path, buckets, [9, None, 1, 2, 120])
+    assert set(got) == {9, None, 120} and all(ids.tolist() in by_key[k] for k, ids in got.items())
     path2 = shared_path(spark, "t")
     token_files.write_tokens(empty.select("doc_id", "text"), spec, path2)
     assert token_files.read_rows(spark.read.parquet(path2)).count() == 0
 
 
+def test_one_key_reads_one_container(spark, docs, monkeypatch):
+    import pathlib
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_files, "CONTAINER_BYTES", 2_000)
+    path, index_path = shared_path(spark, "t"), shared_path(spark, "i")
+    token_files.write_tokens(docs.select("doc_id", "text"), token_files.tokenizer_spec(), path)
+    buckets = token_files.write_index(spark, path, index_path)
+    files = [pq.ParquetFile(p) for p in pathlib.Path(path.removeprefix("file://")).glob("*.parquet")]
+    assert sum(f.metadata.num_row_groups for f in files) == sum(f.metadata.num_rows for f in files) > 5
+    found = token_files.lookup(spark.createDataFrame([(30,)], "k long"), spark.read.parquet(index_path), buckets).first()
+    one = token_files.containers_of(spark, path, [found.container])
+    assert "PushedFilters: [In(container" in one._jdf.queryExecution().toString() or "EqualTo(container" in one._jdf.queryExecution().toString()
+    assert one.count() == 1 and token_files.fetch(spark, path, index_path, buckets, [30])[30].size == found.length
+
+
 def test_minimal_perfect_hash():
     keys = np.unique(np.random.default_rng(4).integers(-(2**62), 2**62, 5000))
     bits, sizes = token_files.build_mph(keys)
@@ -278,10 +333,21 @@ def test_simhash_edits_and_neighbours(docs, empty):
     fps = sorted({r.fingerprint for r in prints.collect()})
     want = {(a, b) for i, b in enumerate(fps) for a in fps[:i] if ((a ^ b) & (2**64 - 1)).bit_count() <= 3}
     assert {(r.a, r.b) for r in simhash.neighbours(prints, 3).collect()} == want
+    near = collections.Counter(x for pair in want for x in pair)
+    assert all(r.n_near == near[int(r.fingerprint, 16) - (1 << 64 if int(r.fingerprint, 16) >> 63 else 0)] for r in have)
     plan = prints._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_simhash_votes_by_hand(spark):
+    text = "Alpha beta beta a-very-long-word-of-more-than-sixteen  gamma"
+    terms = re.split(r"[\x20\x09-\x0D]+", text.lower())
+    hashes = [r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(F.xxhash64("t")).collect()]
+    want = sum(1 << b for b in range(64) if sum(min(len(t), 16) * (1 if h >> b & 1 else -1) for t, h in zip(terms, hashes)) > 0)
+    got = simhash.fingerprints(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().fingerprint
+    assert got & (2**64 - 1) == want
+
+
 # --- op 9
 
 
@@ -421,3 +487,100 @@ def test_pipeline_stages(spark):
         if name == "sentencepiece":
             assert len(after) == len(before)
         docs = out
+
+
+# --- data that must not be lost
+
+
+def test_toxic_stage_keeps_columns_of_any_name(spark, tmp_path):
+    from vecspark.llm import pipeline_stages
+
+    rows = [(1, "what a fine day", 7.5, 3, "a"), (2, "you are such a stupid idiot, you worthless scum", 8.5, 4, "b"), (None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double, words int, predicted string")
+    for name, schema in (("documents", df), ("labels", spark.createDataFrame([], "doc_id long, quality int, toxic int"))):
+        schema.write.parquet(f"{tmp_path}/{name}.parquet")
+    out = pipeline_stages.drop_toxic(spark, df, str(tmp_path))
+    assert out.columns == df.columns
+    assert {tuple(r) for r in out.collect()} == {rows[0], rows[2]}
+
+
+def test_spelled_words_of_any_length():
+    reader = toxicity.Reader(toxicity.Lexicon({"idiot": 1.0, "stupid": 1.0}))
+    for word in ("1d1ot", "1d1ot" + "-" * 70, "x" * 80 + "-1d1ot-and", "i-d-i-o-t", "$tupid", "an_1d1ot_" + "9" * 90):
+        assert reader.symbol(word.encode())[1] == 1.0, word
+    assert reader.symbol(b"2024-11-26")[1] == 0.0
+
+
+def test_composed_grammar_equals_its_parts():
+    """Every sequence of up to five symbols, read by the composed machine and by the four transducers side by side."""
+    import itertools
+
+    grammar = toxicity.Grammar()
+    for n in range(1, 6):
+        for symbols in itertools.product(range(6), repeat=n):
+            i = t = neg = rep = 0
+            total = 0.0
+            for s in symbols:
+                i, insult = toxicity.insult_step(i, s)
+                t, threat = toxicity.threat_step(t, s)
+                neg, a = toxicity.negation_step(neg, s)
+                rep, b = toxicity.report_step(rep, s)
+                total += insult * a * b * 0.7 + 2.0 * threat * a * b
+            assert grammar.clause(list(symbols), [0.7] * n) == pytest.approx(total)
+
+
+def test_votes_equal_a_full_sort_with_ties():
+    rng = np.random.default_rng(3)
+    refs = rng.normal(size=(40, 4))
+    refs[20:] = refs[0]  # half of the references tie
+    refs /= np.linalg.norm(refs, axis=1, keepdims=True)
+    y, w = rng.integers(0, 2, 40).astype(float), rng.uniform(0.5, 2, 40)
+    model = quality.Model(None, None, refs, y, w, 0.4)
+    asked = np.concatenate([refs[:10], rng.normal(size=(200, 4))])
+    asked /= np.linalg.norm(asked, axis=1, keepdims=True)
+    have = quality.vote(model, asked)
+    cosine = asked @ refs.T
+    for k, c in enumerate(cosine):
+        near = sorted(range(40), key=lambda j: (-c[j], j))[: quality.NEIGHBOURS]
+        v = np.maximum(c[near], 0) ** 4 * w[near]
+        assert have[k] == pytest.approx(((v * y[near]).sum() + 0.004) / (v.sum() + 0.01))
+
+
+def test_labels_that_differ_are_settled(spark):
+    docs = spark.createDataFrame([(i, f"t{i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 1), (0, 0), (1, 1), (1, 0), (3, 1), (4, None), (5, 7)], "doc_id long, toxic int")
+    got = labelled.training_rows(docs, labels, "toxic", 4, 9, 100)
+    assert sorted((r.doc_id, r.y) for r in got.collect()) == [(0, 1), (1, 0), (3, 1)]
+
+
+def test_main_text_of_pages_without_wrapper():
+    trees = html_extract.train_trees()
+    long = "long words of a text, and more of them. " * 12
+    pages = {
+        "<body><h1>Title</h1><p>Text one of this page.</p><p>More &amp; more.</p></body>": "Title\nText one of this page.\nMore & more.",
+        f"<p>{long}</p><p>{long}</p><p>{long}</p>": "\n".join([long.strip()] * 3),
+        "<p>only para</p>": "only para",
+        "plain   text\nonly": "plain text only",
+        "<article><p>Hello world this is text.</p><div class='comments'><p>nice one</p></div></article>": "Hello world this is text.",
+        "<article><h1>A title</h1><p>Some text is here for all to read, and it is good.</p><div class=share>Share this</div></article>": "A title\nSome text is here for all to read, and it is good.",
+        "<nav><a href=/>Home</a></nav><footer>(c) us</footer>": "",
+        None: "", "": "",
+    }
+    assert dict(zip(pages, html_extract.extract(list(pages), trees))) == pages
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    for source in ("<div>" * 40_000 + "</span>" * 40_000, "<p>" + "<b>" * 20_000 + "<div>" + "<i>" * 20_000 + "<p></p>" * 20_000, "<body>" * 60_000):
+        began = time.perf_counter()
+        html_dom.parse(source)
+        assert time.perf_counter() - began < 5
+
+
+def test_substring_rows_without_ids(spark):
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(None, f"{shared} a{k}") for k in range(5)] + [(4, f"b {shared}"), (2, shared), (7, "x " * 50)]
+    have = substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.n_removed for r in have if r.doc_id is None) == [0, 30, 30, 30, 30]
+    assert {r.doc_id: r.n_removed for r in have if r.doc_id is not None} == {4: 30, 2: 30, 7: 49}

@@ -1,6 +1,6 @@
 """Connected components of an edge table by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a partial aggregation and an equi-join of materialised tables, so hubs are combined before the shuffle
+Every step is a partial aggregation and an equi-join, of tables that are materialised once a star, so hubs are combined before the shuffle
 and split by the adaptive skew join; no neighbourhood is ever collected."""
 
 from __future__ import annotations
@@ -17,8 +17,7 @@ def _state(edges: DataFrame):
 
 def _to_least(pairs: DataFrame) -> DataFrame:
     """pairs (u, v) with the least of u and all its v as m."""
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
-    return pairs.join(least, "u")
+    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:

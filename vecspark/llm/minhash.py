@@ -6,15 +6,18 @@ Jaccard similarity, so ROWS of them make a band. Documents of equal sets are one
 share a band are candidates; the joint likelihood of the register comparisons estimates their similarity (Ertl, 2021)
 and prunes far pairs; the others are confirmed on their full shingle sets.
 
-Pairs are not enumerated within buckets. First each class is compared with one other class alone, its pivot: of the
-densest member of each of its buckets (that with most bucket mates), the densest one. Confirmed links are joined into
-components. Only pairs across different components are then left:
- - Classes of one pivot are described by their differences to it. If neither is near enough to the pivot to link by
-   sizes alone (then both link to the pivot), two classes can only link if they share enough of their differences;
-   with those in one fixed order, the first one shared must leave room for the rest. This prefix test is exact, and
-   independent edits of one original share too little to pass it, so a large group of near copies gives few pairs.
- - Classes of different pivots that share a bucket are pruned by the likelihood estimate.
-What is left of either is confirmed on full sets.
+Pairs are not enumerated within buckets. Each class points to the densest class (that with most bucket mates) of its
+buckets, and along these pointers to a root. Roots are the densest in all of their buckets, so a group of near copies
+has one root, however its members meet. Each class is compared with its root alone; links are joined into components.
+
+Pairs across different components are then left. A class is described by its differences to its root: the shingles it
+adds and those it lacks. With P the root's size, |u & v| <= P - max(lacks_u, lacks_v) + shared additions, and u and v link
+if (a + b) |u & v| >= a (|u| + |v|) for a similarity a / b. So links share additions, unless both lie nearly within the root,
+and then share an addition or enough of what they lack. In one order, rarest first, the first shared element must
+leave room for the rest (prefix filter): the test is exact, and edits of one original share too little to pass it.
+Classes that share a bucket across roots take the same test with an empty root. Of the classes that share a rare
+element, each is first compared with one of them alone, so that a group far from its root becomes one component; only
+pairs that are still across components are listed, pruned by the likelihood estimate and confirmed on full sets.
 
 At a similarity of 0.85 a link shares no band with a probability of 6e-13 (0.8: 5e-9), and a link is
 pruned by the estimate, which has six standard deviations of slack, with one below 1e-9.
@@ -34,11 +37,11 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from vecspark.llm.common import WORD, binaries, cut, mix64, shared_path, slices, span_hashes, table, text_bytes, words_of
+from vecspark.llm.common import WORD, binaries, cut, mix64, remove, shared_path, slices, span_hashes, table, text_bytes, words_of
 from vecspark.llm.components import components
 
 BANDS, ROWS = 48, 5
@@ -146,71 +149,169 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(NULL_KEY).cast("long")).alias("k"), "text").mapInArrow(run, SKETCH)
 
 
+def pair_sets(part: pa.RecordBatch, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The shingle sets of u and v of each row (u, v, text_u, text_v); a text that repeats is read once."""
+    sides = []
+    for c in ("u", "v"):
+        _, first, inverse = np.unique(part.column(c).to_numpy(), return_index=True, return_inverse=True)
+        sets = shingle_sets(part.column(f"text_{c}").take(pa.array(first)), width)
+        sides.append([sets[i] for i in inverse.tolist()])
+    return zip(*sides)
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have at least the similarity; texts: (c, text)."""
+    """Those of pairs (u, v, g, g2) that link; texts: (c, n, registers, text).
+
+    The likelihood estimate over both sketches prunes far pairs, with SLACK to spare; the others are compared on their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_u"):
+        for part in slices(batches, "text_u", "text_v"):
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_u", "r_v"))
+            j = estimate(a, b, part.column("n_u").to_numpy().astype(float), part.column("n_v").to_numpy().astype(float))
+            part = part.filter(pa.array(j >= float(similarity) - SLACK))
             keep = []
-            for a, b in zip(shingle_sets(part.column("text_u"), width), shingle_sets(part.column("text_v"), width)):
+            for a, b in pair_sets(part, width) if part.num_rows else ():
                 both = np.intersect1d(a, b, assume_unique=True).size
                 keep.append(similarity.denominator * both >= similarity.numerator * (a.size + b.size - both) and both > 0)
-            yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield part.select(["u", "v", "g", "g2"]).filter(pa.array(keep, pa.bool_()))
 
-    of_u, of_v = texts.toDF("u", "text_u"), texts.toDF("v", "text_v")
-    return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, "u long, v long")
+    of_u, of_v = texts.toDF("u", "n_u", "r_u", "text_u"), texts.toDF("v", "n_v", "r_v", "text_v")
+    met = pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "g", "g2", "n_u", "n_v", "r_u", "r_v", "text_u", "text_v")
+    return met.mapInArrow(run, "u long, v long, g long, g2 long")
 
 
 def differences(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """u, v, set sizes, size of the intersection, number of v's shingles that u lacks and all differences (u's own first) of the pairs."""
-    schema = "u long, v long, n_u long, n_v long, both long, lacks long, d long, diff array<long>"
+    """u, v, set sizes, size of the intersection, what u adds to v and what it lacks of it, of the pairs."""
+    schema = "u long, v long, n_u long, n_v long, both long, adds array<long>, lacks array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text_u"):
+        for part in slices(batches, "text_u", "text_v"):
             rows = []
-            for a, b in zip(shingle_sets(part.column("text_u"), width), shingle_sets(part.column("text_v"), width)):
+            for a, b in pair_sets(part, width):
                 both = np.intersect1d(a, b, assume_unique=True)
-                near = 2 * both.size >= a.size + b.size - both.size
-                own, lacks = (np.setdiff1d(x, both, assume_unique=True) if near else x[:0] for x in (a, b))
-                rows.append((a.size, b.size, both.size, b.size - both.size, own.size + lacks.size, np.concatenate([own, ~lacks]).view(np.int64)))
-            n_u, n_v, both, lacks, d, diff = zip(*rows)
-            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), *(pa.array(x, pa.int64()) for x in (n_u, n_v, both, lacks, d)), pa.array(diff, pa.list_(pa.int64()))], names=["u", "v", "n_u", "n_v", "both", "lacks", "d", "diff"])
+                rows.append((a.size, b.size, both.size, *(np.setdiff1d(x, both, assume_unique=True).view(np.int64) for x in (a, b))))
+            n_u, n_v, both, adds, lacks = zip(*rows)
+            counts = [pa.array(x, pa.int64()) for x in (n_u, n_v, both)]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (adds, lacks)]
+            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), *counts, *lists], names=["u", "v", "n_u", "n_v", "both", "adds", "lacks"])
 
-    of_u, of_v = texts.toDF("u", "text_u"), texts.toDF("v", "text_v")
+    of_u, of_v = texts.select("c", "text").toDF("u", "text_u"), texts.select("c", "text").toDF("v", "text_v")
     return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "text_u", "text_v").mapInArrow(run, schema)
 
 
-def sharing_differences(members: DataFrame, similarity: Fraction) -> DataFrame:
-    """Pairs (u, v) of different components g that may link, of members (u, pivot, n_u, n_v, lacks, d, diff, g) of one pivot.
+def whole_sets(texts: DataFrame, width: int) -> DataFrame:
+    """(u, n, adds): the shingle set of each of texts (c, n, registers, text), as additions to an empty root."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            sets = [x.view(np.int64) for x in shingle_sets(part.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([part.column("c"), pa.array([x.size for x in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["u", "n", "adds"])
 
-    With P the pivot's size, |u & v| = P - lacks_u - lacks_v + shared differences, and u and v link if
-    (a + b) |u & v| >= a (|u| + |v|) for a similarity a / b."""
-    a, ab = similarity.numerator, similarity.numerator + similarity.denominator
-    # what a class must share with any other of its pivot, times ab
-    least = F.lit(a) * (F.col("n_u") + F.col("n_v")) + F.lit(ab) * (F.col("lacks") - F.col("n_v"))
-    prefix = F.col("d") - F.greatest(F.lit(1), F.ceil(least / ab)) + 1
-    rows = members.withColumn("prefix", prefix).where("prefix > 0")
-    rows = rows.select("u", "pivot", "n_u", "n_v", "lacks", "d", "g", "prefix", F.posexplode("diff").alias("i", "e")).where("i < prefix")
-    rows = cut(rows.select("pivot", "e", "u", "g", (F.col("d") - F.col("i")).alias("room"), (F.lit(a) * F.col("n_u") + F.lit(ab) * F.col("lacks")).alias("need"), (F.lit(ab) * F.col("n_v")).alias("p")))
-    x = rows.toDF("pivot", "e", "u", "g_u", "room_u", "need_u", "p")
-    y = rows.drop("p").toDF("pivot", "e", "v", "g_v", "room_v", "need_v")
-    can = (F.col("u") < F.col("v")) & (F.col("g_u") != F.col("g_v")) & (F.lit(ab) * F.least("room_u", "room_v") >= F.col("need_u") + F.col("need_v") - F.col("p"))
-    return x.join(y, (x["pivot"] == y["pivot"]) & (x["e"] == y["e"]) & can).select("u", "v").distinct()
+    return texts.select("c", "text").mapInArrow(run, "u long, n long, adds array<long>")
 
 
-def likely(pairs: DataFrame, sketches: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose estimated similarity is at least the given one."""
+def roots(star: DataFrame) -> DataFrame:
+    """(u, v): the root v that each class u reaches along the pointers of star (u, v); a pointer leads to a denser class.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            if part.num_rows:
-                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("r_u", "r_v"))
-                j = estimate(a, b, part.column("n_u").to_numpy().astype(float), part.column("n_v").to_numpy().astype(float))
-                yield part.select(["u", "v"]).filter(pa.array(j >= least))
+    Pointers are followed among the classes that are pointed to, in doubling steps."""
+    ends = star.join(star.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
+    moved = 1
+    while moved:
+        next_ = ends.select(F.col("u").alias("v"), F.col("v").alias("w"))
+        ends = cut(ends.select("u", "v").join(next_, "v", "left").select("u", F.coalesce("w", "v").alias("v"), F.col("w").isNotNull().cast("int").alias("moved")))
+        moved = ends.agg(F.max("moved")).first()[0]
+    return cut(star.join(ends.select(F.col("u").alias("v"), F.col("v").alias("w")), "v", "left").select("u", F.coalesce("w", "v").alias("v")))
+
+
+def rare_first(members: DataFrame, column: str) -> DataFrame:
+    """A row (grp, e, u, ..., i, size) for each element e of the array column that another member of the group grp has; i: its
+    place among the member's elements, the rarest of the group first."""
+    rows = members.select(*[c for c in members.columns if c not in ("adds", "lacks")], F.size(column).alias("size"), F.explode(column).alias("e"))
+    often = rows.groupBy("grp", "e").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    rows = rows.join(often, ["grp", "e"])
+    own = Window.partitionBy("grp", "u")
+    # elements of one member alone come before all others
+    place = F.col("size") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "e"))
+    return rows.withColumn("i", place).drop("f")
+
+
+class PairTest:
+    """The exact tests of pairs within a group (see above), as column expressions over the sizes n, the root's size p and the number of lacks l."""
+
+    def __init__(self, similarity: Fraction):
+        self.a, self.b = similarity.numerator, similarity.denominator
+        self.ab = self.a + self.b
+
+    def least_adds(self, n, l, p):  # noqa: E741
+        """Additions that a member shares with any that it links to, if at least 1; else links within the root are possible."""
+        smallest = F.ceil(n * self.a / self.b)
+        return F.ceil((self.a * (n + smallest) - self.ab * (p - l)) / self.ab)
+
+    def least_lacks(self, n, l, p):  # noqa: E741
+        """Lacks that a member shares with any that it links to without a shared addition."""
+        return F.greatest(F.lit(1), F.ceil((self.ab * l - self.b * p) / self.a + n))
+
+    def sizes(self):
+        return (F.col("n") * self.a <= F.col("n2") * self.b) & (F.col("n2") * self.a <= F.col("n") * self.b)
+
+    def adds(self):
+        """What two members must share of additions."""
+        return (self.a * (F.col("n") + F.col("n2")) - self.ab * (F.col("p") - F.greatest("l", "l2"))) / self.ab
 
-    of_u = sketches.select(F.col("c").alias("u"), F.col("n").alias("n_u"), F.col("registers").alias("r_u"))
-    of_v = sketches.select(F.col("c").alias("v"), F.col("n").alias("n_v"), F.col("registers").alias("r_v"))
-    return pairs.join(of_u, "u").join(of_v, "v").select("u", "v", "n_u", "n_v", "r_u", "r_v").mapInArrow(run, "u long, v long")
+    def both(self):
+        """What two members must share of additions and lacks together."""
+        return (self.a * (F.col("n") + F.col("n2")) - self.ab * (F.col("p") - F.col("l") - F.col("l2"))) / self.ab
+
+    def room(self):
+        """Elements left from the shared one on."""
+        return F.least(F.col("size") - F.col("i"), F.col("size2") - F.col("i2")) + 1
+
+    def apart(self):
+        """Of different components; and with an empty root, of different roots (others are compared by their own)."""
+        return (F.col("g") != F.col("g2")) & ((F.col("grp") >= 0) | (F.col("r") != F.col("r2")))
+
+
+def _second(rows: DataFrame, *same: str) -> DataFrame:
+    return rows.select(*same, *[F.col(c).alias(c + "2") for c in ("u", "g", "r", "n", "l", "size", "i")])
+
+
+def _pair(df: DataFrame) -> DataFrame:
+    """(u, v, g, g2) of the pairs that met, once; g and g2: their components."""
+    swap = F.col("u") > F.col("u2")
+    order = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+    return df.select(order("u", "u2").alias("u"), order("u2", "u").alias("v"), order("g", "g2").alias("g"), order("g2", "g").alias("g2")).distinct()
+
+
+def sharing_additions(rows: DataFrame, test: PairTest, star: bool) -> DataFrame:
+    """Pairs of rows (of `rare_first`, cut to prefixes) with one element: all that may link, or only those with one of each element's rows."""
+    other = rows.groupBy("grp", "e").agg(F.max(F.struct("u", "g", "r", "n", "l", "size", "i")).alias("x")).select("grp", "e", "x.*") if star else rows
+    met = rows.join(_second(other, "grp", "e"), ["grp", "e"])
+    may = test.apart() & test.sizes() & (test.room() >= test.adds())
+    return _pair(met.where(may & (F.lit(True) if star else F.col("u") < F.col("u2"))))
+
+
+def sharing_lacks(members: DataFrame, test: PairTest) -> DataFrame:
+    """Pairs that may link without a shared addition: both lie nearly within their root, and lack the same of it.
+
+    Such a pair's sizes are bounded by what each keeps of the root, so the smaller range of sizes is part of the key."""
+    n, l, p = F.col("n"), F.col("l"), F.col("p")  # noqa: E741
+    step = float(np.log(1.05))
+    bucket = lambda x: F.floor(F.log(x) / step)
+    largest = F.least(F.floor(n * test.b / test.a), F.floor((p - l) * test.ab / test.a) - n)
+    smallest = F.ceil(n * test.a / test.b)
+    inside = members.where((F.col("grp") >= 0) & (l > 0)).withColumn("largest", largest).where(F.col("largest") >= smallest)
+    rows = rare_first(inside, "lacks").where(F.col("i") <= F.col("size") - test.least_lacks(n, l, p) + 1)
+    rows = cut(rows)
+    asked = rows.withColumn("range", F.explode(F.sequence(bucket(smallest.cast("double")), bucket(F.col("largest").cast("double")))))
+    found = _second(rows.withColumn("range", bucket(n.cast("double"))), "grp", "e", "range")
+    may = test.apart() & test.sizes() & (test.adds() <= 0) & (test.room() >= test.both())
+    return _pair(asked.join(found, ["grp", "e", "range"]).where(may))
+
+
+def relabelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with their label g replaced by the least of it and of those that links (g, g2) join it with: equal labels are connected."""
+    both = links.select("g", "g2").unionAll(links.select(F.col("g2").alias("g"), F.col("g").alias("g2")))
+    return rows.join(both.groupBy("g").agg(F.min("g2").alias("_g")), "g", "left").withColumn("g", F.least("g", "_g")).drop("_g")
 
 
 def near_classes(docs: DataFrame, width: int, similarity: Fraction) -> tuple[DataFrame, DataFrame]:
@@ -218,60 +319,72 @@ def near_classes(docs: DataFrame, width: int, similarity: Fraction) -> tuple[Dat
     spark = docs.sparkSession
     path = shared_path(spark, "sketches")
     sketch(docs, width).write.parquet(path)
-    rows = spark.read.parquet(path)
-    classes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
+    sketches = spark.read.parquet(path)
+    classes = sketches.where("n > 0").groupBy("h1", "h2").agg(F.min("k").alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"))
     class_path = shared_path(spark, "classes")
     classes.withColumn("c", F.monotonically_increasing_id()).write.parquet(class_path)
     classes = spark.read.parquet(class_path)
 
     # buckets of several classes, and how many bucket mates each class has
     entries = classes.select("c", F.explode("bands").alias("b"))
-    counts = cut(entries.groupBy("b").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1"))
+    counts = entries.groupBy("b").agg(F.count(F.lit(1)).alias("mates")).where("mates > 1")
     entries = cut(entries.join(counts, "b"))
     density = entries.groupBy("c").agg(F.sum("mates").alias("density"))
     entries = cut(entries.select("b", "c").join(density, "c"))
-    densest = cut(entries.groupBy("b").agg(F.max(F.struct("density", "c")).alias("rep")))
+    densest = entries.groupBy("b").agg(F.max(F.struct("density", "c")).alias("rep"))
     star = entries.join(densest, "b").select("c", "rep").groupBy("c").agg(F.max("rep").alias("rep"))
-    star = cut(star.select(F.col("c").alias("u"), F.col("rep.c").alias("v")).where("u <> v"))
+    star = cut(star.select(F.col("c").alias("u"), F.col("rep.c").alias("v")))  # a row for each class that has bucket mates
+    wanted = star.select(F.col("u").alias("c"))
+    star = roots(star.where("u <> v"))
 
     # texts of the classes that have candidates: the only pass that shuffles whole texts
     text_path = shared_path(spark, "texts")
-    wanted = cut(classes.select("first", "c", "h1", "h2").join(entries.select("c").distinct(), "c", "left_semi"))
+    wanted = classes.select("first", "c", "h1", "n", "registers").join(wanted, "c", "left_semi")
     source = docs.select(F.coalesce("doc_id", F.lit(NULL_KEY).cast("long")).alias("first"), "text")
     with_text(source.join(wanted, "first"), width).write.option("compression", "zstd").parquet(text_path)
-    texts = spark.read.parquet(text_path)
+    texts = spark.read.parquet(text_path).select("c", "n", "registers", "text")
 
     star_path = shared_path(spark, "star")
-    differences(likely(star, classes, 0.5 - SLACK), texts, width).write.option("compression", "zstd").parquet(star_path)
-    star = spark.read.parquet(star_path)
     num, den = similarity.numerator, similarity.denominator
-    links = cut(star.where((F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_u") + F.col("n_v") - F.col("both"))) & (F.col("both") > 0)).select("u", "v"))
-    first = cut(components(links))
-
-    # pairs that can still merge components: of one pivot, and of different pivots in one bucket
-    grouped = first.toDF("u", "component")
-    pivots = star.where(F.lit(2) * F.col("both") >= F.col("n_u") + F.col("n_v") - F.col("both")).withColumnRenamed("v", "pivot")
-    members = cut(pivots.join(grouped, "u", "left").withColumn("g", F.coalesce("component", "u")).drop("component", "both"))
-    split = cut(members.groupBy("pivot").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("pivot"))
-    near = sharing_differences(members.join(split, "pivot"), similarity)
-
-    placed = entries.select("b", F.col("c").alias("u")).join(grouped, "u", "left").join(members.select("u", "pivot"), "u", "left")
-    placed = cut(placed.select("b", "u", F.coalesce("component", "u").alias("g"), F.coalesce("pivot", "u").alias("pivot")))
-    mixed = placed.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("pivot").alias("p0"), F.max("pivot").alias("p1"))
-    mixed = cut(mixed.where("g0 <> g1 AND p0 <> p1").select("b"))
-    placed = cut(placed.join(mixed, "b"))
-    a, b = placed.toDF("b", "u", "g_u", "p_u"), placed.toDF("b", "v", "g_v", "p_v")
-    # a class and its own pivot have been compared
-    apart = (F.col("g_u") < F.col("g_v")) & (F.col("p_u") != F.col("p_v")) & (F.col("p_u") != F.col("v")) & (F.col("p_v") != F.col("u"))
-    rest = a.join(b, (a["b"] == b["b"]) & apart).select("u", "v").distinct()
-    rest = likely(rest, classes, float(similarity) - SLACK)
-    rest = cut(confirmed(cut(near.unionAll(rest).distinct()), texts, width, similarity))
-    merged = cut(components(links.unionAll(rest)))
+    linked = (F.lit(den) * F.col("both") >= F.lit(num) * (F.col("n_u") + F.col("n_v") - F.col("both"))) & (F.col("both") > 0)
+    star = differences(star, texts, width).withColumn("g", F.when(linked, F.col("v")).otherwise(F.col("u")))
+    star.write.option("compression", "zstd").parquet(star_path)
+    star = spark.read.parquet(star_path)
+    rooted = star.select("u", F.col("v").alias("r"), "g")
+
+    # members of roots that hold several components, and of buckets that hold several components of different roots
+    described = star.select("u", F.col("v").alias("grp"), F.col("v").alias("r"), F.col("n_u").alias("n"), F.col("n_v").alias("p"), (F.col("n_v") - F.col("both")).alias("l"), "adds", "lacks", "g")
+    split = rooted.groupBy("r").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select(F.col("r").alias("grp"))
+    placed = entries.select("b", F.col("c").alias("u")).join(rooted, "u", "left")
+    placed = cut(placed.select("b", "u", F.coalesce("r", "u").alias("r"), F.coalesce("g", "u").alias("g")))
+    mixed = placed.groupBy("b").agg(F.min("g").alias("g0"), F.max("g").alias("g1"), F.min("r").alias("r0"), F.max("r").alias("r1")).where("g0 <> g1 AND r0 <> r1")
+    across = cut(placed.join(mixed.select("b"), "b", "left_semi").select("u", "g", "r").distinct())
+    whole = whole_sets(texts.join(across.select(F.col("u").alias("c")), "c", "left_semi"), width).join(across, "u")
+    whole = whole.select("u", F.lit(-1).cast("long").alias("grp"), "r", "n", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("l"), "adds", F.array().cast("array<long>").alias("lacks"), "g")
+    member_path = shared_path(spark, "members")
+    described.join(split, "grp", "left_semi").select(*whole.columns).unionAll(whole).write.option("compression", "zstd").parquet(member_path)
+    members = spark.read.parquet(member_path)
+
+    test = PairTest(similarity)
+    rows = rare_first(members, "adds")
+    rows = cut(rows.where(F.col("i") <= F.col("size") - F.greatest(F.lit(1), test.least_adds(F.col("n"), F.col("l"), F.col("p"))) + 1))
+    first_links = cut(confirmed(sharing_additions(rows, test, star=True), texts, width, similarity))
+    rows = relabelled(rows, first_links)
+    split = rows.groupBy("grp", "e").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 <> g1").select("grp", "e")
+    rows = cut(rows.join(split, ["grp", "e"], "left_semi"))
+    near = sharing_additions(rows, test, star=False).unionAll(sharing_lacks(relabelled(members, first_links), test))
+    links = first_links.unionAll(confirmed(near.distinct(), texts, width, similarity))
+    # roots and what links to them are components already; the links that were found later join some of these
+    merged = components(links.select(F.col("g").alias("u"), F.col("g2").alias("v")))
+    every = rooted.select("u", "g").unionAll(rooted.select(F.col("r").alias("u"), F.col("r").alias("g")).distinct())
+    merged = every.join(merged.toDF("g", "component"), "g", "left").select(F.col("u").alias("node"), F.coalesce("component", "g").alias("component"))
 
     named = classes.select("h1", "h2", "c", "first").join(merged.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     named = cut(named)
     smallest = cut(named.groupBy("component").agg(F.min(F.struct("first", "h1", "h2")).alias("least")))
-    return rows.select("k", "n", "h1", "h2"), cut(named.join(smallest, "component").select("h1", "h2", "least"))
+    named = cut(named.join(smallest, "component").select("h1", "h2", "least"))
+    remove(spark, class_path, text_path, star_path, member_path)
+    return sketches.select("k", "n", "h1", "h2"), named
 
 
 def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
@@ -282,16 +395,16 @@ def near_components(docs: DataFrame, width: int = 5, similarity: Fraction = Frac
 
 
 def with_text(rows: DataFrame, width: int) -> DataFrame:
-    """(c, text) of rows (text, c, h1, h2) whose text has the class's set: of rows that repeat a doc_id only the right ones, once."""
+    """(c, n, registers, text) of rows (text, c, h1, n, registers) whose text has the class's set: of rows that repeat a doc_id only the right ones, once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
             size = np.array([s.size for s in sets], np.int64)
             h1 = span_hashes(np.concatenate(sets), np.append(0, np.cumsum(size))[:-1], size).view(np.int64)
-            yield part.select(["c", "text"]).filter(pa.array(h1 == part.column("h1").to_numpy()))
+            yield part.select(["c", "n", "registers", "text"]).filter(pa.array(h1 == part.column("h1").to_numpy()))
 
-    return rows.select("c", "text", "h1").mapInArrow(run, "c long, text string").dropDuplicates(["c"])
+    return rows.select("c", "n", "registers", "text", "h1").mapInArrow(run, "c long, n long, registers binary, text string").dropDuplicates(["c"])
 
 
 def deduplicate(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
