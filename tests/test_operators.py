@@ -20,34 +20,38 @@ def asked(df):
     return df.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
 
 
-def test_block_and_expression_agree(vecs):
-    df, _ = vecs
+def test_top_k_matches_brute_force(vecs):
+    df, x = vecs
     q = asked(df.where("vec_id < 20"))
-    a, b = (sorted((r.query_id, r.rank, r.vec_id) for r in f(q, df, 7, True).collect()) for f in (flat.top_k_expression, flat.top_k_block))
-    assert a == b and len(a) == 140
+    have = sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k(q, df, 7, True).collect())
+    want = []
+    for i in range(20):
+        best = sorted((-float(np.cumsum(x[i] * x[j])[-1]), j) for j in range(120) if j != i)[:7]
+        want += [(i, n + 1, j) for n, (_, j) in enumerate(best)]
+    assert have == want
 
 
 def test_block_pairs_beyond_the_broadcast_bound(vecs, monkeypatch):
     df, _ = vecs
     q = asked(df.where("vec_id < 20"))
-    want = sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k_block(q, df, 5).collect())
+    want = sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k(q, df, 5).collect())
     monkeypatch.setattr(flat, "BROADCAST_QUERIES", 5)
     monkeypatch.setattr(flat, "BLOCK", 8)
-    assert sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k_block(q, df, 5).collect()) == want
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k(q, df, 5).collect()) == want
 
 
 def test_ties_go_to_the_smaller_id(spark):
     df = spark.createDataFrame([(i, [1.0, 0.0]) for i in (5, 3, 9, 1)], "vec_id long, x array<double>")
     q = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, q array<double>")
-    assert [r.vec_id for r in flat.top_k_block(q, df, 2).orderBy("rank").collect()] == [1, 3]
+    assert [r.vec_id for r in flat.top_k(q, df, 2).orderBy("rank").collect()] == [1, 3]
 
 
 def test_no_phantom_hits_and_empty_tables(spark, vecs):
     df, _ = vecs
     q = asked(df.where("vec_id < 2"))
-    assert flat.top_k_expression(q, df.where("vec_id < 3"), 10).count() == 6
-    assert flat.top_k_expression(q, df.where("false"), 10).count() == 0
-    assert flat.top_k_block(q.where("false"), df, 10).count() == 0
+    assert flat.top_k(q, df.where("vec_id < 3"), 10).count() == 6
+    assert flat.top_k(q, df.where("false"), 10).count() == 0
+    assert flat.top_k(q.where("false"), df, 10).count() == 0
 
 
 def test_more_bits_distort_less(vecs):
@@ -248,13 +252,71 @@ def test_readers_and_writers(spark, tmp_path):
 def test_corpus_checks(spark):
     docs = spark.createDataFrame([(1,), (1,), (2,), (None,)], "doc_id long")
     refs = spark.createDataFrame([(1,), (7,)], "doc_id long")
-    assert {r.check_name: r.n for r in corpus.integrity(docs, refs).collect()} == {"missing_documents": 1, "repeated_ids": 1, "null_ids": 1}
+    assert {r.check_name: r.n for r in corpus.integrity(docs, refs).collect()} == {"missing_documents": 1, "repeated_ids": 1, "null_ids": 1, "count_mismatch": 2}
     with pytest.raises(ValueError, match="Index/document mismatch"):
         corpus.require_count(docs, 3, "documents")
     with pytest.raises(ValueError, match="missing: 9"):
         corpus.require_present(docs, "doc_id", [9])
 
 
+def test_codes_equal_plain_distances_and_pack(vecs):
+    _, x = vecs
+    rng = np.random.default_rng(5)
+    for m, k in ((2, 8), (4, 5), (8, 200)):
+        centroids = rng.normal(size=(m, k, 8 // m))
+        centroids[:, k // 2] = centroids[:, 1]  # exact ties go to the lowest code
+        book = quantize.Codebook(centroids)
+        codes = book.encode(x)
+        far = np.square(x.reshape(120, m, 1, -1) - centroids[None]).sum(-1)
+        assert (codes == far.argmin(-1)).all()
+        bits = max(1, (k - 1).bit_length())
+        packed = quantize.pack_rows(codes, bits)
+        assert packed.shape[1] == -(-m * bits // 8) and (quantize.unpack_rows(packed, bits, m) == codes).all()
+
+
+def test_search_beyond_the_query_bound_and_refill(vecs, monkeypatch):
+    df, _ = vecs
+    index = ivf.train(df, 6, 4, 8)
+    lists, q = ivf.postings(df, index), asked(df.where("vec_id < 30"))
+    want = sorted(tuple(r) for r in ivf.search(q, lists, index, 2, 5).collect())
+    monkeypatch.setattr(ivf, "QUERY_BYTES", 5_000)
+    monkeypatch.setattr(ivf, "SALT_ROWS", 7)
+    assert sorted(tuple(r) for r in ivf.search(q, lists, index, 2, 5).collect()) == want and len(want) > 100
+    assert len(np.unique(quantize.train_codebook(df, 1, 40, 5, refill=True).centroids[0], axis=0)) == 40
+
+
+def test_a_saved_index_reads_only_probed_lists(spark, vecs, tmp_path):
+    df, _ = vecs
+    index = ivf.train(df, 6, 2, 8)
+    path = f"file://{tmp_path}/pruned"
+    artifact.save(spark, path, index, ivf.postings(df, index), df.select("vec_id"))
+    again, lists, *_ = artifact.load(spark, path)
+    found = ivf.search(asked(df.where("vec_id = 3")), lists, again, 1, 5)
+    assert "PartitionFilters: [isnotnull(list_id" in found._jdf.queryExecution().toString().replace("\n", "") or "PartitionFilters: [list_id" in found._jdf.queryExecution().toString()
+    assert artifact.stored_bytes(spark, path)["postings"] > 0
+
+
+def test_a_rotation_that_is_not_orthogonal_is_refused(spark, vecs, tmp_path):
+    df, _ = vecs
+    index = ivf.train(df, 4, 2, 8)
+    artifact.save(spark, f"file://{tmp_path}/bad", index, ivf.postings(df, index), df.select("vec_id"), np.ones((8, 8)))
+    with pytest.raises(ValueError, match="orthogonal"):
+        artifact.load(spark, f"file://{tmp_path}/bad")
+
+
+def test_bad_lines_fail(spark, tmp_path):
+    (tmp_path / "bad.jsonl").write_text('{"_id": "1", "text": "x"}\n{"_id": "2", "te\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_corpus_jsonl(spark, f"file://{tmp_path}/bad.jsonl").collect()
+
+
+def test_no_nested_loops(spark):
+    from tests.conftest import SF
+
+    for name in ("flat_ip_topk", "pq_reconstruct_topk", "batch_search", "saved_index_search_np4"):
+        assert "NestedLoop" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString(), name
+
+
 def test_plans_push_down_and_limit_windows(spark):
     from tests.conftest import SF
     from vecspark.plans import catalogue

@@ -17,6 +17,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def stored_bytes(spark: SparkSession, path: str) -> dict[str, int]:
+    """Measured bytes of each part of a saved index."""
+    files = lambda p: p.getFileSystem(spark._jsc.hadoopConfiguration())
+    at = [(name, spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")) for name in (*PARTS, "rotation")]
+    return {name: files(p).getContentSummary(p).getLength() for name, p in at if files(p).exists(p)}
+
+
 def save(spark: SparkSession, path: str, index: IvfPq, lists: DataFrame, documents: DataFrame, rotation: np.ndarray | None = None, nprobe: int = 4, mode: str = "errorifexists", **facts) -> None:
     """Write all parts; postings are partitioned by list_id, so that probes read only their lists."""
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(index.coarse)], "list_id int, centroid array<double>").write.mode(mode).parquet(f"{path}/coarse")
@@ -49,6 +56,8 @@ def load(spark: SparkSession, path: str) -> tuple[IvfPq, DataFrame, DataFrame, n
         rotation = np.array([r.coeffs for r in spark.read.parquet(f"{path}/rotation").orderBy("row").collect()])  # D rows
         if rotation.shape != (manifest["dimension"],) * 2:
             raise ValueError(f"the rotation has shape {rotation.shape}, not {manifest['dimension']} square")
+        if (error := float(np.linalg.norm(rotation.T @ rotation - np.eye(len(rotation))))) > 1e-6:
+            raise ValueError(f"the rotation is not orthogonal: off by {error}")
     documents = spark.read.parquet(f"{path}/documents")
     lists = spark.read.parquet(f"{path}/postings").select("vec_id", "list_id", "codes")
     for name, df in (("documents", documents), ("postings", lists)):

@@ -35,12 +35,14 @@ def stratified_sample(rows: DataFrame, by: str, n: int, train_share: float = 0.8
 
 
 def integrity(docs: DataFrame, references: DataFrame) -> DataFrame:
-    """(check_name, n): references without document, repeated ids, missing ids."""
+    """(check_name, n): references without document, repeated ids, missing ids, and how far the numbers of documents and references differ."""
     missing = references.select("doc_id").join(docs.select("doc_id"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("n"))
     repeated = docs.groupBy("doc_id").count().where("count > 1").agg(F.count(F.lit(1)).alias("n"))
     nulls = docs.where("doc_id IS NULL").agg(F.count(F.lit(1)).alias("n"))
     named = lambda df, name: df.select(F.lit(name).alias("check_name"), "n")
-    return named(missing, "missing_documents").unionAll(named(repeated, "repeated_ids")).unionAll(named(nulls, "null_ids"))
+    count = lambda df, sign: df.agg((F.count(F.lit(1)) * sign).alias("n"))
+    differ = count(docs, 1).unionAll(count(references, -1)).agg(F.abs(F.sum("n")).alias("n"))
+    return named(missing, "missing_documents").unionAll(named(repeated, "repeated_ids")).unionAll(named(nulls, "null_ids")).unionAll(named(differ, "count_mismatch"))
 
 
 def require_count(df: DataFrame, expected: int, what: str) -> None:

@@ -7,8 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vecspark.functions.vector import dot
-
 #: Queries are broadcast up to so many rows (at 1,024 dimensions 80 MB); beyond, blocks of both sides meet by key.
 BROADCAST_QUERIES = 10_000
 BLOCK = 4_096
@@ -20,43 +18,38 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def top_k_expression(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """queries (query_id, q) against docs (vec_id, x), sequential double sums; for query sets of a checked size."""
-    if queries.count() > BROADCAST_QUERIES:
-        return top_k_block(queries, docs, k, exclude_self)
-    pairs = docs.select("vec_id", "x").join(F.broadcast(queries.select("query_id", "q")), F.col("query_id") != F.col("vec_id") if exclude_self else F.lit(True))
-    return ranked(pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("x")).alias("score")), k)
-
-
 def _matrix(column) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.empty((0, 0))
 
 
+def sequential(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of row pairs, summed in vector order, so that they don't depend on how rows were dealt to blocks."""
+    return np.cumsum(q * x, axis=-1)[..., -1] if q.shape[-1] else np.zeros(q.shape[:-1])
+
+
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, exclude_self: bool) -> pa.RecordBatch:
+    """The k best rows of a block for each query. A matrix product picks the candidates, with all that come near the k-th; their
+    scores are then summed in vector order."""
     s = q @ x.T
     if exclude_self:
         s[query_ids[:, None] == ids[None, :]] = -np.inf
     n = min(k, len(ids))
-    order = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :n] if n == len(ids) else _partial(s, ids, n)
-    score = np.take_along_axis(s, order, 1)
-    keep = np.isfinite(score)
-    rows = np.repeat(query_ids, keep.sum(1))
-    return pa.RecordBatch.from_pydict({"query_id": pa.array(rows, pa.int64()), "vec_id": pa.array(ids[order][keep], pa.int64()), "score": pa.array(score[keep], pa.float64())})
-
+    least = np.partition(s, len(ids) - n, axis=1)[:, len(ids) - n, None] if n else s[:, :0]
+    size = np.linalg.norm(q, axis=1)[:, None] * max(np.linalg.norm(x, axis=1).max(initial=0), 1e-300)
+    row, column = np.nonzero((s >= least - 1e-12 * size) & np.isfinite(s))
+    score = sequential(q[row], x[column])
+    order = np.lexsort((ids[column], -score, row))
+    row, column, score = row[order], column[order], score[order]
+    place = np.arange(row.size) - np.searchsorted(row, row)
+    keep = place < n
+    return pa.RecordBatch.from_pydict({"query_id": pa.array(query_ids[row[keep]], pa.int64()), "vec_id": pa.array(ids[column[keep]], pa.int64()), "score": pa.array(score[keep], pa.float64())})
 
-def _partial(s: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
-    """Columns that hold each row's n best; all that tie with the n-th compete by id."""
-    bound = -np.partition(-s, n - 1, axis=1)[:, n - 1]
-    out = np.empty((len(s), n), np.int64)
-    for r in range(len(s)):
-        c = np.flatnonzero(s[r] >= bound[r])
-        out[r] = c[np.lexsort((ids[c], -s[r, c]))[:n]]
-    return out
 
+def top_k(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
+    """queries (query_id, q) against docs (vec_id, x): matrix products over Arrow batches, with a partial top k per batch before the shuffle.
 
-def top_k_block(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = False) -> DataFrame:
-    """The same by matrix products over Arrow batches, with a partial top k per batch before the shuffle."""
+    Up to BROADCAST_QUERIES queries are broadcast; beyond, groups of queries and blocks of vectors of bounded size meet by key."""
     schema = "query_id long, vec_id long, score double"
     n = queries.count()
     if n <= BROADCAST_QUERIES:

@@ -11,12 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from vecspark.functions.vector import EPS, normalize
 from vecspark.operators.corpus import hash_order
 from vecspark.operators.flat import _matrix
 
-CHUNK = 2_048
+#: Bytes of distances that are held at once.
+CHUNK_BYTES = 32 << 20
 
 
 # --- scalar codes
@@ -67,12 +69,23 @@ class Codebook:
         return self.centroids.shape[1]
 
     def encode(self, x: np.ndarray) -> np.ndarray:
-        """The nearest code of each subspace, ties to the lowest."""
+        """The nearest code of each subspace, ties to the lowest: |c|^2 - 2 x c by one matrix product a subspace and chunk.
+
+        Where codes come so near that rounding could decide, their distances are summed from differences."""
         parts = x.reshape(len(x), self.m, -1)
         out = np.empty((len(x), self.m), np.int32)
-        for a in range(0, len(x), CHUNK):
-            diff = parts[a : a + CHUNK, :, None, :] - self.centroids[None]
-            out[a : a + CHUNK] = np.square(diff).sum(-1).argmin(-1)
+        rows = max(1, CHUNK_BYTES // (8 * self.k))
+        for j, centroids in enumerate(self.centroids):
+            own = np.square(centroids).sum(1)
+            for a in range(0, len(x), rows):
+                part = parts[a : a + rows, j]
+                far = own - 2.0 * (part @ centroids.T)
+                code = far.argmin(1)
+                near = far <= (np.take_along_axis(far, code[:, None], 1) + 1e-12 * (np.square(part).sum(1) + own.max())[:, None])
+                for r in np.flatnonzero(near.sum(1) > 1).tolist():
+                    some = np.flatnonzero(near[r])
+                    code[r] = some[np.square(part[r] - centroids[some]).sum(1).argmin()]
+                out[a : a + rows, j] = code
         return out
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
@@ -84,11 +97,6 @@ def require_divisible(dimension: int, m: int) -> None:
         raise ValueError(f"{dimension} dimensions cannot be cut into {m} equal parts")
 
 
-def training_sample(vectors: DataFrame, n: int | None, seed: int = 42) -> DataFrame:
-    """The first n vectors in hash order (all where n is None)."""
-    return vectors if n is None else vectors.orderBy(hash_order("vec_id", seed), "vec_id").limit(n)
-
-
 def train_codebook(vectors: DataFrame, m: int, k: int, iterations: int = 3, seed: int = 42, tolerance: float = 0.0, refill: bool = False) -> Codebook:
     """Lloyd's algorithm in all subspaces at once: one pass over vectors (vec_id, x) an iteration.
 
@@ -96,6 +104,7 @@ def train_codebook(vectors: DataFrame, m: int, k: int, iterations: int = 3, seed
     vectors in hash order with refill. Stops early when the relative shift is below the tolerance."""
     seeds = vectors.orderBy(hash_order("vec_id", seed), "vec_id").limit(k * (2 if refill else 1)).select("x").toArrow()
     x = _matrix(seeds["x"])
+    vectors = vectors.select("vec_id", "x").persist()  # read again in every iteration
     if len(x) < k:
         raise ValueError(f"{k} clusters need at least {k} vectors, not {len(x)}")
     require_divisible(x.shape[1], m)
@@ -112,6 +121,7 @@ def train_codebook(vectors: DataFrame, m: int, k: int, iterations: int = 3, seed
         book = Codebook(new)
         if shift < tolerance:
             break
+    vectors.unpersist()
     return book
 
 
@@ -129,8 +139,10 @@ def _partial_sums(vectors: DataFrame, book: Codebook) -> tuple[np.ndarray, np.nd
             x = _matrix(batch.column("x"))
             codes, parts = own.encode(x), x.reshape(len(x), m, d)
             for j in range(m):
-                np.add.at(sums[j], codes[:, j], parts[:, j])
-                counts[j] += np.bincount(codes[:, j], minlength=k)
+                order = np.argsort(codes[:, j], kind="stable")
+                used, begin, n = np.unique(codes[order, j], return_index=True, return_counts=True)
+                sums[j, used] += np.add.reduceat(parts[order, j], begin)
+                counts[j, used] += n
         j, c = np.nonzero(counts)
         yield pa.RecordBatch.from_pydict({"j": pa.array(j, pa.int32()), "c": pa.array(c, pa.int32()), "n": pa.array(counts[j, c]), "s": pa.array(list(sums[j, c]), pa.list_(pa.float64()))})
 
@@ -156,10 +168,33 @@ def encode(vectors: DataFrame, book: Codebook, keep: tuple[str, ...] = ()) -> Da
     return vectors.select("vec_id", *dict.fromkeys((*keep, "x"))).mapInArrow(run, schema)
 
 
-def decode_column(codes, book: Codebook):
-    """The reconstruction as a column expression over a literal codebook (m * k centroids)."""
-    literal = F.lit([[c.tolist() for c in part] for part in book.centroids])
-    return F.flatten(F.transform(codes, lambda c, i: F.get(F.get(literal, i), c)))
+def decode(coded: DataFrame, book: Codebook, to: str = "y") -> DataFrame:
+    """coded with a column more: the reconstruction of its codes, over Arrow with the codebook broadcast (m * k centroids)."""
+    shared = coded.sparkSession.sparkContext.broadcast(book)
+    schema = StructType([*coded.schema.fields, StructField(to, ArrayType(DoubleType()))])
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                codes = batch.column("codes").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(shared.value.decode(codes)), pa.list_(pa.float64()))], names=[*batch.schema.names, to])
+
+    return coded.mapInArrow(run, schema)
+
+
+def pack_rows(codes: np.ndarray, bits: int) -> np.ndarray:
+    """Unsigned codes (rows, m) as rows of bytes, low bits first."""
+    if bits == 8:
+        return codes.astype(np.uint8)
+    return np.packbits(((codes[:, :, None] >> np.arange(bits)) & 1).astype(np.uint8).reshape(len(codes), -1), axis=1, bitorder="little")
+
+
+def unpack_rows(data: np.ndarray, bits: int, m: int) -> np.ndarray:
+    """The codes (rows, m) of rows of bytes."""
+    if bits == 8:
+        return data.astype(np.int32)
+    raw = np.unpackbits(data, axis=1, bitorder="little")[:, : m * bits].reshape(len(data), m, bits)
+    return (raw.astype(np.int32) << np.arange(bits)).sum(2)
 
 
 def codebook_rows(spark, book: Codebook) -> DataFrame:
@@ -190,12 +225,6 @@ def rotate(vectors: DataFrame, rotation: np.ndarray, inverse: bool = False) -> D
     return vectors.mapInArrow(run, vectors.schema)
 
 
-def rotate_column(x, rotation: np.ndarray):
-    """x R as a column expression."""
-    columns = F.lit([c.tolist() for c in rotation.T])
-    return F.transform(columns, lambda c: F.aggregate(F.zip_with(x, c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-
-
 @dataclass
 class LearnedRotation:
     rotation: np.ndarray

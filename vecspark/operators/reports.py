@@ -62,6 +62,11 @@ def upsert(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def placed(rows: DataFrame, *order) -> DataFrame:
+    """rows of a report table with their place (from 1) in an order; a row per method passes one task."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)).cast("long"))
+
+
 def best_methods(rows: DataFrame, floor: float) -> DataFrame:
     """(choice, method): best recall, best ratio, best balance, and the most compressed method with recall over floor."""
     pick = lambda by, where=F.lit(True): F.max_by("method", F.when(where, by))

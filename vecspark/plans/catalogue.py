@@ -1,7 +1,8 @@
 """The registered queries of the engine and their SQL.
 
-Query vectors are the embeddings with vec_id % 10 = 0 and documents the others; judgements link equal labels; the
-request log is made of events. Each query calls its operator with fixed parameters."""
+In searches, query vectors are the embeddings with vec_id % 10 = 0 and documents the others; all other operators take the
+whole table. Judgements link equal labels; the request log is made of events. Each query calls its operator with fixed
+parameters."""
 
 from __future__ import annotations
 
@@ -63,7 +64,7 @@ def shown(r: DataFrame) -> DataFrame:
 
 
 def exact(spark, sf_dir, k=10):
-    return flat.top_k_expression(*sides(spark, sf_dir), k)
+    return flat.top_k(*sides(spark, sf_dir), k)
 
 
 @lru_cache
@@ -116,7 +117,8 @@ def stratified_sample_split(spark, sf_dir):
 
 
 @query("integrity_checks", """SELECT 'missing_documents' AS check_name, count(*)::BIGINT AS n FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id IS NOT NULL)
-UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) UNION ALL SELECT 'null_ids', count(*) FROM documents WHERE doc_id IS NULL""")
+UNION ALL SELECT 'repeated_ids', count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1) UNION ALL SELECT 'null_ids', count(*) FROM documents WHERE doc_id IS NULL
+UNION ALL SELECT 'count_mismatch', abs((SELECT count(*) FROM documents) - (SELECT count(*) FROM labels))""")
 def integrity_checks(spark, sf_dir):
     return corpus.integrity(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"))
 
@@ -138,13 +140,13 @@ def flat_ip_topk(spark, sf_dir):
 
 @query("flat_ip_topk_block", f"WITH {sql.QD} {sql.ranking_output(sql.topk())}")
 def flat_ip_topk_block(spark, sf_dir):
-    return shown(flat.top_k_block(*sides(spark, sf_dir), 10))
+    return shown(flat.top_k(*sides(spark, sf_dir), 10))
 
 
 @query("topk_fewer_than_k", f"WITH {sql.QD}, few AS (SELECT * FROM d WHERE vec_id < 9) SELECT query_id, count(*)::BIGINT AS n_hits, max(rank)::BIGINT AS last_rank FROM {sql.topk('few')} GROUP BY query_id")
 def topk_fewer_than_k(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    return flat.top_k_expression(q, d.where("vec_id < 9"), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").alias("last_rank"))
+    return flat.top_k(q, d.where("vec_id < 9"), 10).groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.max("rank").alias("last_rank"))
 
 
 ALL = "allq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings), alld AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
@@ -153,7 +155,7 @@ ALL = "allq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddi
 @query("self_excluded_topk", f"WITH {ALL} {sql.ranking_output(sql.topk('alld', 5, 'allq', 'query_id <> vec_id'))}")
 def self_excluded_topk(spark, sf_dir):
     v = vectors(spark, sf_dir)
-    return shown(flat.top_k_block(v.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), v, 5, exclude_self=True))
+    return shown(flat.top_k(v.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q")), v, 5, exclude_self=True))
 
 
 NAMES = ["float32_flat", "ivfpq_m8_k16_np4", "ivfpq_m8_k16_np16", "opq_ivfpq_m16_k16_np8", "scalar_int8", "pq_m4_k8", "rotation_pq_m8_k16", "flat_np"]
@@ -171,9 +173,9 @@ def method_name_parse(spark, sf_dir):
 
 
 def _scalar(bits: int, fit: str, name: str) -> None:
-    @query(name, f"WITH {sql.QD}, {sql.scalar('s', bits, fit=fit)} SELECT vec_id, round(s, 9) AS scale, array_to_string(codes, ',') AS codes FROM s_c, s_s")
+    @query(name, f"WITH {sql.VE}, {sql.scalar('s', bits, 've', fit)} SELECT vec_id, round(s, 9) AS scale, array_to_string(codes, ',') AS codes FROM s_c, s_s")
     def run(spark, sf_dir):
-        d = sides(spark, sf_dir)[1]
+        d = vectors(spark, sf_dir)
         scale = quantize.scalar_scale(d.where(fit), bits)
         return d.select("vec_id", F.round(F.lit(scale), 9).alias("scale"), joined(quantize.scalar_codes(F.col("x"), scale, bits)).alias("codes"))
 
@@ -191,7 +193,7 @@ def scalar_reconstructed(d: DataFrame, bits: int) -> DataFrame:
 @query("scalar_reconstruct_topk", f"WITH {sql.QD}, {sql.scalar('s', 8)} {sql.ranking_output(sql.topk('s_y'))}")
 def scalar_reconstruct_topk(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    return shown(flat.top_k_expression(q, scalar_reconstructed(d, 8).select("vec_id", F.col("y").alias("x")), 10))
+    return shown(flat.top_k(q, scalar_reconstructed(d, 8).select("vec_id", F.col("y").alias("x")), 10))
 
 
 # --- vector and product quantisation
@@ -200,16 +202,16 @@ MSE = "sum(list_sum(list_transform(list_zip(x, y), lambda t: (t[1] - t[2]) * (t[
 
 
 def _vq_sql(k: int) -> str:
-    return f"SELECT {k} AS k, (SELECT count(DISTINCT code)::BIGINT FROM v{k}_codes) AS used, (SELECT round({MSE}, 6) FROM d JOIN v{k}_dec USING (vec_id)) AS mse"
+    return f"SELECT {k} AS k, (SELECT count(DISTINCT code)::BIGINT FROM v{k}_codes) AS used, (SELECT round({MSE}, 6) FROM ve JOIN v{k}_dec USING (vec_id)) AS mse"
 
 
-@query("single_vq", f"WITH {sql.QD}, " + ", ".join(sql.lloyd(f"v{k}", "d", 1, k) for k in (4, 8, 16)) + " " + " UNION ALL ".join(_vq_sql(k) for k in (4, 8, 16)))
+@query("single_vq", f"WITH {sql.VE}, " + ", ".join(sql.lloyd(f"v{k}", "ve", 1, k) for k in (4, 8, 16)) + " " + " UNION ALL ".join(_vq_sql(k) for k in (4, 8, 16)))
 def single_vq(spark, sf_dir):
-    d = sides(spark, sf_dir)[1]
+    d = vectors(spark, sf_dir)
     out = None
     for k in (4, 8, 16):
         book = quantize.train_codebook(d, 1, k)
-        codes = quantize.encode(d, book, ("x",)).withColumn("y", quantize.decode_column(F.col("codes"), book))
+        codes = quantize.decode(quantize.encode(d, book, ("x",)), book)
         used = codes.agg(F.count_distinct("codes").alias("used"))
         row = ranking.distortion(codes).join(used, F.lit(True)).select(F.lit(k).alias("k"), "used", r6("mse").alias("mse"))
         out = row if out is None else out.unionAll(row)
@@ -217,31 +219,32 @@ def single_vq(spark, sf_dir):
 
 
 PQ_SQL = f"WITH {sql.QD}, {sql.lloyd('p', 'd', 8, 16)}"
+PQ_ALL = f"WITH {sql.VE}, {sql.lloyd('p', 've', 8, 16)}"
 
 
-@query("pq_codebook", PQ_SQL + " SELECT m::INT AS m, code::INT AS code, j::INT AS j, round(v, 6) AS v FROM (SELECT m, code, unnest(range(8)) AS j, unnest(c) AS v FROM p_cb)")
+@query("pq_codebook", PQ_ALL + " SELECT m::INT AS m, code::INT AS code, j::INT AS j, round(v, 6) AS v FROM (SELECT m, code, unnest(range(8)) AS j, unnest(c) AS v FROM p_cb)")
 def pq_codebook(spark, sf_dir):
-    book = quantize.train_codebook(sides(spark, sf_dir)[1], 8, 16)
+    book = quantize.train_codebook(vectors(spark, sf_dir), 8, 16)
     rows = quantize.codebook_rows(spark, book)
     return rows.select("m", "code", F.posexplode("centroid").alias("j", "v")).withColumn("v", r6("v"))
 
 
-@query("pq_codes", PQ_SQL + " SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS codes FROM p_codes GROUP BY vec_id")
+@query("pq_codes", PQ_ALL + " SELECT vec_id, string_agg(code::VARCHAR, ',' ORDER BY m) AS codes FROM p_codes GROUP BY vec_id")
 def pq_codes(spark, sf_dir):
-    d = sides(spark, sf_dir)[1]
+    d = vectors(spark, sf_dir)
     return quantize.encode(d, quantize.train_codebook(d, 8, 16)).select("vec_id", joined(F.col("codes")).alias("codes"))
 
 
 def pq_reconstructed(d: DataFrame, m: int, k: int, unit: bool = True) -> DataFrame:
     book = quantize.train_codebook(d, m, k)
-    y = quantize.decode_column(F.col("codes"), book)
-    return quantize.encode(d, book, ("x",)).select("vec_id", (normalize(y) if unit else y).alias("y"), "x")
+    y = F.col("y")
+    return quantize.decode(quantize.encode(d, book, ("x",)), book).select("vec_id", (normalize(y) if unit else y).alias("y"), "x")
 
 
 @query("pq_reconstruct_topk", PQ_SQL + f", y AS MATERIALIZED (SELECT vec_id, {sql.unit('y')} AS x FROM p_dec) " + sql.ranking_output(sql.topk("y")))
 def pq_reconstruct_topk(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    return shown(flat.top_k_expression(q, pq_reconstructed(d, 8, 16).select("vec_id", F.col("y").alias("x")), 10))
+    return shown(flat.top_k(q, pq_reconstructed(d, 8, 16).select("vec_id", F.col("y").alias("x")), 10))
 
 
 @query("pq_sweep_summary", f"WITH {sql.QD}, {sql.QRELS}, " + ", ".join(sql.lloyd(f"p{m}_{k}", "d", m, k) for m in (4, 8, 16) for k in (8, 16)) + " " + " UNION ALL ".join(
@@ -254,7 +257,7 @@ def pq_sweep_summary(spark, sf_dir):
     for m in (4, 8, 16):
         for k in (8, 16):
             y = pq_reconstructed(d, m, k, unit=False)
-            found = flat.top_k_expression(q, y.select("vec_id", normalize(F.col("y")).alias("x")), 10)
+            found = flat.top_k(q, y.select("vec_id", normalize(F.col("y")).alias("x")), 10)
             row = ranking.distortion(y).join(ranking.summary(ranking.per_query(found, qrels)), F.lit(True))
             row = row.select(F.lit(m).alias("m"), F.lit(k).alias("k"), r6("mse").alias("mse"), r6("recall_at_10").alias("recall_at_10"))
             out = row if out is None else out.unionAll(row)
@@ -263,12 +266,13 @@ def pq_sweep_summary(spark, sf_dir):
 
 # --- rotations
 
+ROT_ALL = f"WITH {sql.VE}, {sql.matrix(quantize.random_rotation(64))}, rv AS MATERIALIZED {sql.rotated('ve')}"
 ROT_SQL = f"WITH {sql.QD}, {sql.matrix(quantize.random_rotation(64))}, rd AS MATERIALIZED {sql.rotated('d')}, rq AS MATERIALIZED {sql.rotated('q', 'query_id', 'q')}"
 
 
-@query("random_rotation", ROT_SQL + """ SELECT vec_id, round(rd.x[1], 6) AS first, round(rd.x[64], 6) AS last, round(sqrt(list_inner_product(rd.x, rd.x)), 6) AS norm, round(0.0, 6) AS back_error FROM rd""")
+@query("random_rotation", ROT_ALL + """ SELECT vec_id, round(rv.x[1], 6) AS first, round(rv.x[64], 6) AS last, round(sqrt(list_inner_product(rv.x, rv.x)), 6) AS norm, round(0.0, 6) AS back_error FROM rv""")
 def random_rotation(spark, sf_dir):
-    d = sides(spark, sf_dir)[1]
+    d = vectors(spark, sf_dir).select("vec_id", "x")
     there = quantize.rotate(d.withColumn("old", F.col("x")), rotation())
     back = quantize.rotate(there.withColumn("turned", F.col("x")), rotation(), inverse=True)
     error = F.sqrt(F.aggregate(F.zip_with("x", "old", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v))
@@ -276,24 +280,42 @@ def random_rotation(spark, sf_dir):
     return back.select("vec_id", r6(t[0]).alias("first"), r6(t[63]).alias("last"), r6(norm(t)).alias("norm"), r6(error).alias("back_error"))
 
 
-@query("opq_rotation")
+@query("opq_rotation", "SELECT i::INT AS step, TRUE AS orthogonal, TRUE AS no_worse_than_unrotated FROM range(6) t(i)")
 def opq_rotation(spark, sf_dir):
-    learned = quantize.learn_rotation(sides(spark, sf_dir)[1], 8, 16, outer=4, inner=3)
-    rows = [(i, d, o) for i, (d, o) in enumerate(zip(learned.distortions, learned.orthogonality))]
-    return spark.createDataFrame(rows, "step int, distortion double, orthogonality_error double")
+    """Each outer step of the learned rotation: is the rotation orthogonal, and its distortion none above the first one's (within 2 %, as k-means starts anew)."""
+    learned = learned_rotation(spark, sf_dir)
+    rows = [(i, o < 1e-9, d <= 1.02 * learned.distortions[0]) for i, (d, o) in enumerate(zip(learned.distortions, learned.orthogonality))]
+    return spark.createDataFrame(rows, "step int, orthogonal boolean, no_worse_than_unrotated boolean")
+
+
+#: What was trained or saved once, by session and table.
+KEPT: dict = {}
+
+
+def kept(spark, name: str, sf_dir: str, make):
+    key = (spark.sparkContext.applicationId, name, sf_dir)
+    if key not in KEPT:
+        KEPT[key] = make()
+    return KEPT[key]
+
 
+def learned_rotation(spark, sf_dir) -> quantize.LearnedRotation:
+    return kept(spark, "rotation", sf_dir, lambda: quantize.learn_rotation(vectors(spark, sf_dir), 8, 16))
 
-@query("rotation_compressed", ROT_SQL + f", {sql.scalar('s', 4, 'rd')}, {sql.lloyd('p', 'rd', 8, 16)}" + f"""
-SELECT 'rotation_int4' AS method, round({MSE}, 6) AS mse FROM rd JOIN s_r USING (vec_id) UNION ALL SELECT 'rotation_pq', round({MSE}, 6) FROM rd JOIN p_dec USING (vec_id)""")
+
+@query("rotation_compressed", ROT_ALL + "".join(f", {sql.scalar(f's{b}', b, 'rv')}" for b in (8, 4, 2)) + f", {sql.lloyd('p', 'rv', 8, 16)} " + " UNION ALL ".join(
+    f"SELECT 'rotation_int{b}' AS method, round({MSE}, 6) AS mse FROM rv JOIN s{b}_r USING (vec_id)" for b in (8, 4, 2)) + f" UNION ALL SELECT 'rotation_pq', round({MSE}, 6) FROM rv JOIN p_dec USING (vec_id)")
 def rotation_compressed(spark, sf_dir):
     """Distortion after rotating, compressing and rotating back."""
-    d = sides(spark, sf_dir)[1]
+    d = vectors(spark, sf_dir).select("vec_id", "x")
     turned = quantize.rotate(d, rotation())
-    scale = quantize.scalar_scale(turned, 4)
-    scalar = turned.select("vec_id", quantize.scalar_decode(quantize.scalar_codes(F.col("x"), scale, 4), scale, unit=False).alias("x"))
-    pq = pq_reconstructed(turned, 8, 16, unit=False).select("vec_id", F.col("y").alias("x"))
+    made = {}
+    for bits in (8, 4, 2):
+        scale = quantize.scalar_scale(turned, bits)
+        made[f"rotation_int{bits}"] = turned.select("vec_id", quantize.scalar_decode(quantize.scalar_codes(F.col("x"), scale, bits), scale, unit=False).alias("x"))
+    made["rotation_pq"] = pq_reconstructed(turned, 8, 16, unit=False).select("vec_id", F.col("y").alias("x"))
     out = None
-    for name, y in (("rotation_int4", scalar), ("rotation_pq", pq)):
+    for name, y in made.items():
         back = quantize.rotate(y, rotation(), inverse=True).withColumnRenamed("x", "y")
         row = ranking.distortion(d.join(back, "vec_id")).select(F.lit(name).alias("method"), r6("mse").alias("mse"))
         out = row if out is None else out.unionAll(row)
@@ -303,9 +325,9 @@ def rotation_compressed(spark, sf_dir):
 # --- inverted lists
 
 
-@query("ivf_lists", f"WITH {sql.QD}, {sql.ivf('i', 'd', 16)} SELECT list_id::INT AS list_id, count(*)::BIGINT AS n FROM i_post GROUP BY list_id")
+@query("ivf_lists", f"WITH {sql.VE}, {sql.ivf('i', 've', 16)} SELECT list_id::INT AS list_id, count(*)::BIGINT AS n FROM i_post GROUP BY list_id")
 def ivf_lists(spark, sf_dir):
-    d = sides(spark, sf_dir)[1]
+    d = vectors(spark, sf_dir)
     return ivf.postings(d, ivf.train(d, 16, 8, 16)).groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -340,7 +362,7 @@ def opq_ivfpq_adc(spark, sf_dir):
 @query("opq_learned_ivfpq")
 def opq_learned_ivfpq(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    learned = quantize.learn_rotation(d, 8, 16, outer=3, inner=3)
+    learned = learned_rotation(spark, sf_dir)
     turned = quantize.rotate(d, learned.rotation)
     index = ivf.train(turned, 16, 8, 16)
     asked = quantize.rotate(q.withColumnRenamed("q", "x"), learned.rotation).withColumnRenamed("x", "q")
@@ -373,12 +395,12 @@ def metric_summary(spark, sf_dir):
 
 
 PAIR_COS = "avg(list_inner_product(x, y) / greatest(sqrt(list_inner_product(x, x)) * sqrt(list_inner_product(y, y)), 1e-12))"
-IP = "(SELECT avg(abs(list_inner_product(a.x, b.x) - list_inner_product(a.y, b.y))) FROM p a, p b WHERE a.vec_id < 100 AND b.vec_id < 100)"
+IP = "(SELECT avg(abs(list_inner_product(a.x, b.x) - list_inner_product(a.y, b.y))) FROM p a, p b)"
 
 
-@query("distortion", f"WITH {sql.QD}, {sql.scalar('s', 4)}, p AS MATERIALIZED (SELECT vec_id, d.x AS x, s_y.x AS y FROM d JOIN s_y USING (vec_id)) SELECT round({MSE}, 6) AS mse, round({PAIR_COS}, 6) AS mean_cosine, round({IP}, 6) AS ip_error FROM p")
+@query("distortion", f"WITH {sql.VE}, {sql.scalar('s', 4, 've')}, p AS MATERIALIZED (SELECT vec_id, ve.x AS x, s_y.x AS y FROM ve JOIN s_y USING (vec_id)) SELECT round({MSE}, 6) AS mse, round({PAIR_COS}, 6) AS mean_cosine, round({IP}, 6) AS ip_error FROM p")
 def distortion(spark, sf_dir):
-    pairs = scalar_reconstructed(sides(spark, sf_dir)[1], 4)
+    pairs = scalar_reconstructed(vectors(spark, sf_dir), 4)
     both = ranking.distortion(pairs).join(ranking.inner_product_error(pairs.select("vec_id", "x", "y")), F.lit(True))
     return both.select(r6("mse").alias("mse"), r6("mean_cosine").alias("mean_cosine"), r6("ip_error").alias("ip_error"))
 
@@ -390,7 +412,7 @@ def _overlap_sql(a: str, b: str, k: int) -> str:
 @query("neighbor_overlap", f"WITH {sql.QD}, {sql.scalar('s', 4)}, f AS {sql.topk()}, g AS {sql.topk('s_y')} {_overlap_sql('f', 'g', 10)}")
 def neighbor_overlap(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    return ranking.overlap(flat.top_k_expression(q, d, 10), flat.top_k_expression(q, scalar_reconstructed(d, 4).select("vec_id", F.col("y").alias("x")), 10))
+    return ranking.overlap(flat.top_k(q, d, 10), flat.top_k(q, scalar_reconstructed(d, 4).select("vec_id", F.col("y").alias("x")), 10))
 
 
 @query("topk_recall_selfexcl", f"""WITH {ALL}, {sql.scalar('s', 4, 'alld')}, f AS {sql.topk('alld', 5, 'allq', 'query_id <> vec_id')},
@@ -399,7 +421,7 @@ def topk_recall_selfexcl(spark, sf_dir):
     v = vectors(spark, sf_dir).select("vec_id", "x")
     y = scalar_reconstructed(v, 4).select("vec_id", F.col("y").alias("x"))
     asked = lambda df: df.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    both = ranking.overlap(flat.top_k_block(asked(v), v, 5, True), flat.top_k_block(asked(y), y, 5, True), 5)
+    both = ranking.overlap(flat.top_k(asked(v), v, 5, True), flat.top_k(asked(y), y, 5, True), 5)
     return both.agg(r6(F.avg("overlap")).alias("recall"), F.count(F.lit(1)).alias("n_queries"))
 
 
@@ -412,11 +434,11 @@ COMPARED = {"float32": ("d", "n * 256"), "int8": ("s8_y", "n * 64 + 4"), "int4":
     f"(SELECT round(n * 256.0 / ({b}), 4) FROM n) AS ratio FROM {sql.metrics('r_' + m)}" for m, (_, b) in COMPARED.items()))
 def method_comparison(spark, sf_dir):
     q, d = sides(spark, sf_dir)
-    qrels, base, n = judgements(spark, sf_dir), flat.top_k_expression(q, d, 10), d.count()
+    qrels, base, n = judgements(spark, sf_dir), flat.top_k(q, d, 10), d.count()
     made = {"float32": (d, n * 256), "int8": (scalar_reconstructed(d, 8), n * 64 + 4), "int4": (scalar_reconstructed(d, 4), n * 32 + 4), "pq_m8_k16": (pq_reconstructed(d, 8, 16), n * 4 + 4096)}
     out = None
     for name, (y, size) in made.items():
-        found = flat.top_k_expression(q, y if name == "float32" else y.select("vec_id", F.col("y").alias("x")), 10)
+        found = flat.top_k(q, y if name == "float32" else y.select("vec_id", F.col("y").alias("x")), 10)
         row = ranking.summary(ranking.per_query(found, qrels)).join(ranking.overlap(base, found).agg(F.avg("overlap").alias("overlap")), F.lit(True))
         row = row.select(F.lit(name).alias("method"), r6("recall_at_10").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"), r6("overlap").alias("overlap"), F.lit(size).cast("long").alias("bytes"), F.round(F.lit(n * 256.0) / F.lit(size), 4).alias("ratio"))
         out = row if out is None else out.unionAll(row)
@@ -534,13 +556,8 @@ def report_table(spark, sf_dir):
 DOC_SQL = sql.encoded("de", "doc_id", "documents")
 
 
-def encoded_documents(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("title"), "text")
-    return docs.join(hash_encode(docs, "doc_id", "text"), "doc_id").withColumn("vec_id", F.col("doc_id"))
-
-
-def _search_sql(n: int, k: int) -> str:
-    return f"""WITH bq AS (SELECT item_id AS pos, text FROM benchmark WHERE item_id < {n}), {DOC_SQL}, {sql.encoded('qe', 'pos', 'bq')}, qq AS (SELECT pos AS query_id, x AS q FROM qe), dd AS (SELECT doc_id AS vec_id, x FROM de), hit AS {sql.topk('dd', k, 'qq')}
+def _search_sql(n: int | None, k: int) -> str:
+    return f"""WITH bq AS (SELECT item_id AS pos, text FROM benchmark WHERE {'TRUE' if n is None else f'item_id < {n}'}), {DOC_SQL}, {sql.encoded('qe', 'pos', 'bq')}, qq AS (SELECT pos AS query_id, x AS q FROM qe), dd AS (SELECT doc_id AS vec_id, x FROM de), hit AS {sql.topk('dd', k, 'qq')}
 SELECT query_id AS pos, md5(bq.text) AS query_md5, rank, round(score, 6) AS score, vec_id AS doc_id, source AS title, replace(substr(documents.text, 1, 80), chr(10), ' ') AS preview FROM hit JOIN documents ON vec_id = doc_id JOIN bq ON pos = query_id"""
 
 
@@ -548,7 +565,8 @@ def _searched(spark, sf_dir, n: int | None, k: int) -> DataFrame:
     """The k best documents of the items below n, or of all items."""
     items = table(spark, sf_dir, "benchmark")
     asked = (items if n is None else items.where(F.col("item_id") < n)).select(F.col("item_id").alias("pos"), "text")
-    hits = search_texts(asked, encoded_documents(spark, sf_dir), k)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "doc_id", F.col("source").alias("title"), "text")
+    hits = search_texts(asked, docs, k, vectors=hash_encode(docs, "vec_id", "text"))
     preview = F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))
     return hits.select("pos", F.md5("query").alias("query_md5"), "rank", r6("score").alias("score"), "doc_id", "title", preview.alias("preview"))
 
@@ -563,7 +581,7 @@ def batch_search(spark, sf_dir):
     return _searched(spark, sf_dir, 16, 5)
 
 
-@query("text_search", _search_sql(1_000_000, 10))
+@query("text_search", _search_sql(None, 10))
 def text_search(spark, sf_dir):
     return _searched(spark, sf_dir, None, 10)
 
@@ -586,7 +604,7 @@ def encode_texts(spark, sf_dir):
     return x.select("doc_id", joined(F.transform("x", lambda e: F.round(e * 1000).cast("int"))).alias("code"))
 
 
-@query("artifact_roundtrip")
+@query("artifact_roundtrip", "SELECT unnest(['documents', 'rotation', 'codebook', 'ranking']) AS check_name, TRUE AS ok")
 def artifact_roundtrip(spark, sf_dir):
     """Write an index, read it again and compare what both find."""
     q, d = sides(spark, sf_dir)
@@ -601,9 +619,101 @@ def artifact_roundtrip(spark, sf_dir):
     return spark.createDataFrame(rows, "check_name string, ok boolean")
 
 
+# --- saved indexes: built once in a session, then loaded and searched
+
+
+def saved_index(spark, sf_dir) -> str:
+    def build() -> str:
+        d = sides(spark, sf_dir)[1]
+        index = ivf.train(d, 16, 8, 16)
+        path = shared_path(spark, "index")
+        artifact.save(spark, path, index, ivf.postings(d, index), d.select("vec_id", F.col("vec_id").alias("doc_id")), nprobe=4)
+        return path
+
+    return kept(spark, "index", sf_dir, build)
+
+
+def loaded_index(spark, sf_dir):
+    return kept(spark, "loaded", sf_dir, lambda: artifact.load(spark, saved_index(spark, sf_dir)))
+
+
+@query("saved_index_facts", f"WITH {sql.QD} SELECT count(*)::BIGINT AS vectors, 64::BIGINT AS dimension, 16::BIGINT AS nlist, (count(*) * 4)::BIGINT AS payload_bytes, TRUE AS smaller_than_float32 FROM d")
+def saved_index_facts(spark, sf_dir):
+    """Size of the packed codes, counted in the stored rows; and whether the measured files of codes stay below the float32 vectors."""
+    index, lists, _, _, manifest = loaded_index(spark, sf_dir)
+    measured = artifact.stored_bytes(spark, saved_index(spark, sf_dir))["postings"]
+    n, dimension = manifest["vector_count"], manifest["dimension"]
+    sums = lists.agg(F.count(F.lit(1)).alias("vectors"), F.coalesce(F.sum(F.octet_length("codes")), F.lit(0)).cast("long").alias("payload_bytes"))
+    return sums.select("vectors", F.lit(dimension).cast("long").alias("dimension"), F.lit(len(index.coarse)).cast("long").alias("nlist"), "payload_bytes", F.lit(measured < n * dimension * 4).alias("smaller_than_float32"))
+
+
+def _saved(name: str, nprobe: int) -> None:
+    @query(name, f"WITH {sql.QD}, {sql.ivf('i', 'd', 16)}, {sql.ivf_search('i', nprobe)} {sql.ranking_output('i_top')}")
+    def run(spark, sf_dir):
+        index, lists, *_ = loaded_index(spark, sf_dir)
+        return shown(ivf.search(sides(spark, sf_dir)[0], lists, index, nprobe, 10))
+
+
+_saved("saved_index_search_np4", 4)
+_saved("saved_index_search_np8", 8)
+
+EVALUATED = {"ivfpq_np4": "i_top", "ivfpq_np8": "j_top", "rotated_ivfpq_np4": "r_top"}
+
+
+@query("index_comparison", ROT_SQL + f", {sql.QRELS}, f AS MATERIALIZED {sql.topk()}, {sql.ivf('i', 'd', 16)}, {sql.ivf_search('i', 4)}, {sql.again('i', 'j', 8)}, {sql.ivf('r', 'rd', 16)}, {sql.ivf_search('r', 4, queries='rq')} " + " UNION ALL ".join(
+    f"SELECT '{m}' AS method, round(avg(recall_at_10), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, (SELECT round(avg(overlap), 6) FROM ({_overlap_sql('f', top, 10)})) AS overlap, "
+    f"(SELECT (count(*) * 12 + 4096 + 4096{' + 16384' if m.startswith('rotated') else ''})::BIGINT FROM d) AS serialized_bytes FROM {sql.metrics(top)}" for m, top in EVALUATED.items()))
+def index_comparison(spark, sf_dir):
+    """Quality and size of searches over inverted lists, beside exact search."""
+    q, d = sides(spark, sf_dir)
+    qrels, base, n = judgements(spark, sf_dir), flat.top_k(q, d, 10).persist(), d.count()
+    index, lists, *_ = loaded_index(spark, sf_dir)
+    turned = quantize.rotate(d, rotation())
+    other = ivf.train(turned, 16, 8, 16)
+    asked = quantize.rotate(q.withColumnRenamed("q", "x"), rotation()).withColumnRenamed("x", "q")
+    found = {"ivfpq_np4": ivf.search(q, lists, index, 4, 10), "ivfpq_np8": ivf.search(q, lists, index, 8, 10), "rotated_ivfpq_np4": ivf.search(asked, ivf.postings(turned, other), other, 4, 10)}
+    out = None
+    for name, hits in found.items():
+        size = n * (4 + 8) + 16 * 64 * 4 + 16 * 64 * 4 + (64 * 64 * 4 if name.startswith("rotated") else 0)  # codes, ids, codebook, centroids, rotation
+        row = ranking.summary(ranking.per_query(hits, qrels)).join(ranking.overlap(base, hits).agg(F.avg("overlap").alias("overlap")), F.lit(True))
+        row = row.select(F.lit(name).alias("method"), r6("recall_at_10").alias("recall"), r6("mrr").alias("mrr"), r6("ndcg").alias("ndcg"), r6("overlap").alias("overlap"), F.lit(size).cast("long").alias("serialized_bytes"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+# Published figures of compressed methods (ratio, mean cosine, mean squared error, top-5 recall).
+PUBLISHED = [
+    ("rotation_int8", 4.00, 0.999931, 3.60e-7, 0.99575), ("int8", 4.00, 0.999911, 4.66e-7, 0.99375), ("rotation_int4", 8.00, 0.978013, 1.187e-4, 0.90575), ("int4", 8.00, 0.971965, 1.527e-4, 0.90225),
+    ("rotation_pq_m32_k64", 10.46, 0.688924, 1.620e-3, 0.63200), ("pq_m32_k64", 10.46, 0.692852, 1.600e-3, 0.61300), ("rotation_int2", 16.00, 0.271767, 2.527e-3, 0.18975), ("int2", 16.00, 0.152975, 2.577e-3, 0.10075), ("vq_k16", 49.20, 0.422550, 3.008e-3, 0.06900),
+]
+PUBLISHED_SCHEMA = "method string, ratio double, cosine double, mse double, recall double"
+PUBLISHED_SQL = "p(method, ratio, cosine, mse, recall) AS (VALUES " + ", ".join(f"('{m}', {', '.join(f'{x!r}::DOUBLE' for x in v)})" for m, *v in PUBLISHED) + ")"
+
+
+@query("practical_methods", f"WITH {PUBLISHED_SQL} SELECT row_number() OVER (ORDER BY ratio DESC, recall DESC, cosine DESC)::BIGINT AS place, method, ratio, recall FROM p WHERE recall >= 0.9 AND method <> 'float32'")
+def practical_methods(spark, sf_dir):
+    """Methods that keep nine tenths of the neighbours, the most compressed first."""
+    return reports.placed(spark.createDataFrame(PUBLISHED, PUBLISHED_SCHEMA).where((F.col("recall") >= 0.9) & (F.col("method") != "float32")), F.desc("ratio"), F.desc("recall"), F.desc("cosine")).select("place", "method", "ratio", "recall")
+
+
+@query("pq_ranking", f"WITH {PUBLISHED_SQL} SELECT row_number() OVER (ORDER BY recall DESC, method)::BIGINT AS place, method, recall FROM p WHERE method LIKE 'pq%' OR method LIKE 'rotation_pq%'")
+def pq_ranking(spark, sf_dir):
+    rows = spark.createDataFrame(PUBLISHED, PUBLISHED_SCHEMA)
+    return reports.placed(rows.where(F.col("method").startswith("pq") | F.col("method").startswith("rotation_pq")), F.desc("recall"), "method").select("place", "method", "recall")
+
+
 # --- streams
 
 
+@query("stream_append_lists", f"WITH {sql.QD}, {sql.ivf('i', 'd', 16)} SELECT list_id::INT AS list_id, count(*)::BIGINT AS n FROM i_post GROUP BY list_id")
+def stream_append_lists(spark, sf_dir):
+    """Vectors that arrive in a stream are appended to inverted lists."""
+    out = shared_path(spark, "stream")
+    arriving = streams.vector_stream(spark, f"{sf_dir}/embeddings.parquet").where("vec_id % 10 <> 0")
+    streams.append_postings(arriving, loaded_index(spark, sf_dir)[0], f"{out}/lists", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/lists").groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_encode_append", f"WITH alld AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), s AS (SELECT 1.0 / 127 AS s) SELECT vec_id, array_to_string(list_transform(x, lambda e: greatest(-127, least(127, round_even(e / s, 0)))::INT), ',') AS codes FROM alld, s")
 def stream_encode_append(spark, sf_dir):
     out = shared_path(spark, "stream")

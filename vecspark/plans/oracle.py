@@ -4,6 +4,7 @@ from __future__ import annotations
 
 QD = """q AS MATERIALIZED (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 10 = 0),
 d AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id % 10 <> 0)"""
+VE = "ve AS MATERIALIZED (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)"
 QRELS = """qrels AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, (1 + b.vec_id % 2)::INT AS score
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id % 10 = 0 AND b.vec_id % 10 <> 0)"""
 
@@ -90,6 +91,14 @@ def ivf_search(p: str, nprobe: int, k: int = 10, queries: str = "q", m: int = 8)
 
 
 
+def again(p: str, other: str, nprobe: int) -> str:
+    """A second search of the index of ivf(p), with names of its own."""
+    out = ivf_search(p, nprobe)
+    for part in ("probe", "lut", "found", "top"):
+        out = out.replace(f"{p}_{part}", f"{other}_{part}")
+    return out
+
+
 def encoded(name: str, key: str, source: str, text: str = "text") -> str:
     """name (key, x): hashed word counts of unit length."""
     return f"""{name}_w AS (SELECT {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[^\\x20\\x09-\\x0D]+')) AS w FROM {source}),

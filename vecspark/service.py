@@ -13,6 +13,8 @@ from vecspark.operators.encoder import hash_encode
 from vecspark.operators.quantize import rotate
 
 MAX_CHARS, MAX_TOP_K, MAX_NPROBE, MAX_QUERIES = 2000, 20, 256, 32
+#: Hits of up to some 100 bytes each, and their queries of up to MAX_CHARS, are broadcast to the documents.
+BROADCAST_HITS = 10_000
 
 
 def validate(queries: list[str], top_k: int = 5, nprobe: int | None = None) -> None:
@@ -28,15 +30,18 @@ def validate(queries: list[str], top_k: int = 5, nprobe: int | None = None) -> N
         raise ValueError(f"nprobe is 1 to {MAX_NPROBE}")
 
 
-def search_texts(queries: DataFrame, documents: DataFrame, top_k: int, encoder: Callable = hash_encode, search: Callable | None = None) -> DataFrame:
-    """queries (pos, text) against documents (vec_id, doc_id, title, text, x): pos, query, rank, score, doc_id, title, text.
+def search_texts(queries: DataFrame, documents: DataFrame, top_k: int, encoder: Callable = hash_encode, search: Callable | None = None, vectors: DataFrame | None = None) -> DataFrame:
+    """queries (pos, text) against documents (vec_id, doc_id, title, text): pos, query, rank, score, doc_id, title, text.
 
-    All queries are encoded and searched at once; rows keep pos, the order of the input."""
+    All queries are encoded and searched at once; rows keep pos, the order of the input. The vectors (vec_id, x; of documents
+    where none are given) are searched by themselves, and only hits are joined to titles and texts."""
     asked = encoder(queries, "pos", "text").withColumnsRenamed({"pos": "query_id", "x": "q"})
-    found = search(asked, top_k) if search else flat.top_k_expression(asked, documents.select("vec_id", "x"), top_k)
-    hits = found.join(documents.select("vec_id", "doc_id", "title", F.col("text").alias("document")), "vec_id")
-    named = hits.join(queries.select(F.col("pos").alias("query_id"), F.col("text").alias("query")), "query_id")
-    return named.select(F.col("query_id").alias("pos"), "query", "rank", "score", "doc_id", "title", F.col("document").alias("text"))
+    found = search(asked, top_k) if search else flat.top_k(asked, documents.select("vec_id", "x") if vectors is None else vectors, top_k)
+    named = found.join(queries.select(F.col("pos").alias("query_id"), F.col("text").alias("query")), "query_id")
+    if queries.count() * top_k <= BROADCAST_HITS:
+        named = F.broadcast(named)  # a checked number of hits
+    hits = documents.select("vec_id", "doc_id", "title", F.col("text").alias("document")).join(named, "vec_id")
+    return hits.select(F.col("query_id").alias("pos"), "query", "rank", "score", "doc_id", "title", F.col("document").alias("text"))
 
 
 class Retriever:

@@ -1,4 +1,4 @@
-"""Readers of corpora, queries, judgements and driver tables."""
+"""Readers of corpora, queries, judgements and driver tables. A malformed JSON line or number fails the read; blank lines and short rows are skipped as documented."""
 
 from __future__ import annotations
 
@@ -23,18 +23,18 @@ def title_and_text(title, text):
 
 def read_corpus_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """{_id, title?, text} lines, blank ones skipped, as doc_id, title, text and body."""
-    rows = spark.read.schema("_id string, title string, text string").json(path).where("_id IS NOT NULL")
+    rows = spark.read.schema("_id string, title string, text string").json(path, mode="FAILFAST").where("_id IS NOT NULL")
     return rows.select(F.col("_id").alias("doc_id"), "title", "text", title_and_text(F.col("title"), F.col("text")).alias("body"))
 
 
 def read_queries_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.schema("_id string, text string").json(path).where("_id IS NOT NULL")
+    rows = spark.read.schema("_id string, text string").json(path, mode="FAILFAST").where("_id IS NOT NULL")
     return rows.select(F.col("_id").alias("query_id"), "text")
 
 
 def read_qrels_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated judgements with a header: query-id, corpus-id, score."""
-    rows = spark.read.schema("q string, d string, s int").csv(path, sep="\t", header=True)
+    rows = spark.read.schema("q string, d string, s int").csv(path, sep="\t", header=True, mode="FAILFAST")
     return rows.toDF("query_id", "doc_id", "score")
 
 
@@ -52,7 +52,7 @@ def read_key_value_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_document_metadata(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.CORPUS).json(path).where("doc_id IS NOT NULL")
+    return spark.read.schema(schemas.CORPUS).json(path, mode="FAILFAST").where("doc_id IS NOT NULL")
 
 
 def read_with_fallback(spark: SparkSession, readers: list) -> DataFrame:

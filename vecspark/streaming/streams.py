@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecspark.functions.vector import doubles
-from vecspark.operators.flat import top_k_expression
+from vecspark.operators import ivf
+from vecspark.operators.flat import top_k
 from vecspark.operators.quantize import scalar_codes
 
 VECTORS = "vec_id long, embedding array<float>, label int"
@@ -32,12 +33,20 @@ def append_codes(stream: DataFrame, out: str, checkpoint: str, scale: float, bit
     return query
 
 
+def append_postings(stream: DataFrame, index: ivf.IvfPq, out: str, checkpoint: str):
+    """Assign, encode and append vectors (vec_id, x) to the inverted lists at out; exactly once by the sink's log. Runs all that is there."""
+    rows = ivf.postings(stream, index)
+    query = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).partitionBy("list_id").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query
+
+
 def search_stream(stream: DataFrame, docs: DataFrame, k: int, out: str, checkpoint: str):
     """Search each micro-batch of queries (vec_id, x); a replayed batch overwrites its own folder, so results stay whole."""
 
     def run(batch: DataFrame, number: int) -> None:
         asked = batch.select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-        top_k_expression(asked, docs, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        top_k(asked, docs, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
