@@ -51,9 +51,8 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = Fals
 
     Up to BROADCAST_QUERIES queries are broadcast; beyond, groups of queries and blocks of vectors of bounded size meet by key."""
     schema = "query_id long, vec_id long, score double"
-    n = queries.count()
-    if n <= BROADCAST_QUERIES:
-        rows = queries.select("query_id", "q").toArrow()  # at most BROADCAST_QUERIES rows
+    rows = queries.select("query_id", "q").limit(BROADCAST_QUERIES + 1).toArrow()
+    if rows.num_rows <= BROADCAST_QUERIES:
         if not rows.num_rows:
             return docs.sparkSession.createDataFrame([], "query_id long, rank long, vec_id long, score double")
         shared = docs.sparkSession.sparkContext.broadcast((rows["query_id"].to_numpy(), _matrix(rows["q"])))
@@ -66,7 +65,7 @@ def top_k(queries: DataFrame, docs: DataFrame, k: int, exclude_self: bool = Fals
                     yield _best(part.column("vec_id").to_numpy(), _matrix(part.column("x")), ids, q, k, exclude_self)
 
         return ranked(docs.select("vec_id", "x").mapInArrow(run, schema), k)
-    d_groups, q_groups = max(1, -(-docs.count() // (4 * BLOCK))), max(1, -(-n // BLOCK))
+    d_groups, q_groups = max(1, -(-docs.count() // (4 * BLOCK))), max(1, -(-queries.count() // BLOCK))
     number = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<bigint>"))
     d = docs.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(d_groups)).alias("dg")).withColumn("qg", number(q_groups))
     q = queries.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(q_groups)).alias("qg")).withColumn("dg", number(d_groups))

@@ -566,7 +566,7 @@ def _searched(spark, sf_dir, n: int | None, k: int) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
     asked = (items if n is None else items.where(F.col("item_id") < n)).select(F.col("item_id").alias("pos"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "doc_id", F.col("source").alias("title"), "text")
-    hits = search_texts(asked, docs, k, vectors=hash_encode(docs, "vec_id", "text"))
+    hits = search_texts(asked, docs, k, vectors=hash_encode(spread(docs.select("vec_id", "text")), "vec_id", "text"))
     preview = F.replace(F.substring("text", 1, 80), F.lit("\n"), F.lit(" "))
     return hits.select("pos", F.md5("query").alias("query_md5"), "rank", r6("score").alias("score"), "doc_id", "title", preview.alias("preview"))
 
