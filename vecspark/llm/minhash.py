@@ -48,6 +48,7 @@ BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 SLACK = 0.15
+BROADCAST_ROOTS = 1_000_000  # of 8 bytes
 NULL_KEY = -(2**63)
 SKETCH = "k long, n long, h1 long, h2 long, bands array<long>, registers binary"
 
@@ -362,6 +363,9 @@ def near_classes(docs: DataFrame, width: int, similarity: Fraction) -> tuple[Dat
     whole = whole_sets(texts.join(across.select(F.col("u").alias("c")), "c", "left_semi"), width).join(across, "u")
     whole = whole.select("u", F.lit(-1).cast("long").alias("grp"), "r", "n", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("l"), "adds", F.array().cast("array<long>").alias("lacks"), "g")
     member_path = shared_path(spark, "members")
+    split = cut(split)
+    if split.count() <= BROADCAST_ROOTS:
+        split = F.broadcast(split)  # so that the members of a large root stay dealt over all tasks
     described.join(split, "grp", "left_semi").select(*whole.columns).unionAll(whole).write.option("compression", "zstd").parquet(member_path)
     members = spark.read.parquet(member_path)
 
