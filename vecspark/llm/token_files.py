@@ -53,10 +53,13 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
-        kind = np.full(256, 3, np.uint8)  # 1: ASCII letter, 2: other ASCII, 3: not ASCII
+        kind = np.full(256, 3, np.uint8)  # 0: white space, 1: ASCII letter, 2: other ASCII, 3: not ASCII
         kind[:128] = 2
         kind[65:91] = kind[97:123] = 1
+        kind[9:14] = kind[32] = 0
         self.kind = kind
+        self.edge = np.zeros((4, 4), bool)
+        self.edge[1, 2] = self.edge[2, 1] = True
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
         self.memo: dict[bytes, int] = {}
@@ -69,16 +72,16 @@ class WordEncoder:
         if not starts.size:
             return np.empty(0, np.uint32), np.zeros(offsets.size, np.int64)
         # ASCII letters and other ASCII characters never share a token, unless for contractions and special tokens
-        whole = np.append(0, np.cumsum((raw == 0x27) | (raw == 0x7C)))
-        whole = whole[starts + lengths] > whole[starts]
+        marks = np.flatnonzero((raw == 0x27) | (raw == 0x7C))
+        whole = np.searchsorted(marks, starts + lengths) > np.searchsorted(marks, starts) if marks.size else np.zeros(starts.size, bool)
         kind = self.kind[raw]
-        parts = np.zeros(raw.size, bool)
-        parts[1:] = (kind[1:] + kind[:-1] == 3) & (kind[1:] < 3) & (kind[:-1] < 3)
-        keep = ragged(starts[~whole], lengths[~whole])
         split = np.zeros(raw.size, bool)
-        split[keep] = parts[keep]
-        low = raw.copy()
-        low[keep] = self.lower[raw[keep]]
+        split[1:] = self.edge[kind[1:], kind[:-1]]  # never at white space
+        low = self.lower[raw]
+        if marks.size:
+            as_is = ragged(starts[whole], lengths[whole])
+            low[as_is] = raw[as_is]
+            split[as_is] = False
         split[starts] = True
         begins = np.flatnonzero(split)
         word = np.searchsorted(starts, begins, "right") - 1
@@ -94,7 +97,10 @@ class WordEncoder:
         """The number of each unit in the memo, which learns the new ones and starts anew when it is full."""
         if len(self.memo) + len(units) > MEMO_UNITS:
             self.memo, self.ids, self.at = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
-        new = [u for u in units if u not in self.memo]
+        known = list(map(self.memo.get, units))
+        unseen = [i for i, k in enumerate(known) if k is None]
+        new = [units[i] for i in unseen]
+        base = len(self.memo)
         ids, counts = [self.ids], [np.diff(self.at)]
         for a in range(0, len(new), ENCODE_UNITS):
             some = new[a : a + ENCODE_UNITS]
@@ -104,7 +110,9 @@ class WordEncoder:
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
         if new:
             self.ids, self.at = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
-        return np.fromiter(map(self.memo.__getitem__, units), np.int64, len(units))
+        for number, i in enumerate(unseen):
+            known[i] = base + number
+        return np.array(known, np.int64)
 
 
 _ENCODERS: dict[int, WordEncoder] = {}
