@@ -35,7 +35,7 @@ END_ID = 1
 NULL_KEY = -(2**63)
 BUCKET_KEYS = 65_536
 CONTAINER_BYTES = 4 << 20
-MEMO_UNITS = 600_000  # of a worker; about 100 MB
+MEMO_UNITS = 1_200_000  # of a worker; about 200 MB
 ENCODE_UNITS = 16_384  # in one call of the library
 CHUNKS = 1 << 24  # containers of a partition at most
 CONTAINERS = "container long, part int, n_docs long, n_tokens long, keys binary, lengths binary, payload binary"
