@@ -96,9 +96,11 @@ class Probes:
         """The k best of some postings for each query that probes their lists."""
         order = np.argsort(list_ids, kind="stable")
         used, begin = np.unique(list_ids[order], return_index=True)
+        by_list = np.argsort(self.lists, axis=None, kind="stable")
+        first = np.searchsorted(self.lists.ravel()[by_list], np.append(used, used + 1)).reshape(2, -1)
         found = []
-        for lst, rows in zip(used.tolist(), np.split(order, begin[1:])):
-            asked, probe = np.nonzero(self.lists == lst)
+        for start, stop, rows in zip(*first.tolist(), np.split(order, begin[1:])):
+            asked, probe = np.divmod(by_list[start:stop], self.lists.shape[1])
             for a in range(0, asked.size, max(1, (16 << 20) // (8 * rows.size))):
                 some = asked[a : a + max(1, (16 << 20) // (8 * rows.size))]
                 score = np.repeat(self.base[some, probe[a : a + some.size], None], rows.size, 1)
