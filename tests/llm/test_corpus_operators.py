@@ -584,3 +584,11 @@ def test_substring_rows_without_ids(spark):
     have = substring_dedup.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(r.n_removed for r in have if r.doc_id is None) == [0, 30, 30, 30, 30]
     assert {r.doc_id: r.n_removed for r in have if r.doc_id is not None} == {4: 30, 2: 30, 7: 49}
+
+
+def test_no_link_is_lost_on_the_tables(spark):
+    """op8 on all documents of sf0.01 against all pairs."""
+    folder = SF.replace("0.001", "0.01")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
+    have = sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in minhash.op8_minhash(spark, folder).collect())
+    assert have == brute_components(rows, 3, Fraction(85, 100))
