@@ -7,12 +7,13 @@ import re
 import zlib
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import SF
-from vecspark.llm import bit_sliced, html_dom, html_extract, labelled, minhash, mixing, quality, sentencepiece_bpe, simhash, substring_dedup, suffix_automaton, token_files, toxicity
+from vecspark.llm import bit_sliced, html_dom, html_extract, labelled, minhash, mixing, quality, queries, sentencepiece_bpe, simhash, substring_dedup, suffix_automaton, token_files, toxicity
 from vecspark.llm.common import shared_path
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -592,3 +593,21 @@ def test_no_link_is_lost_on_the_tables(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     have = sorted((key(r.doc_id), r.n_shingles, key(r.component_id)) for r in minhash.op8_minhash(spark, folder).collect())
     assert have == brute_components(rows, 3, Fraction(85, 100))
+
+
+@pytest.mark.parametrize("name", ["op2_substring", "op8_minhash"])
+def test_queries_equal_their_sql(spark, name):
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duck.execute(queries.ORACLE_SQL[name])
+    columns = [c[0] for c in want.description]
+    assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in queries.QUERIES[name](spark, SF).collect())
+
+
+def test_sql_of_near_copies_equals_brute_force():
+    rows = [(r[0], r[1]) for r in corpus()]
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    have = [(key(k), n, key(c)) for k, n, c, _ in duck.execute(minhash.OP8_SQL).fetchall()]
+    assert sorted(have) == brute_components(rows, 3, Fraction(85, 100))

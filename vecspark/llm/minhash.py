@@ -434,3 +434,15 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_components(docs, 3, Fraction(85, 100))
     real = lambda c: F.when(F.col(c) != NULL_KEY, F.col(c))
     return out.select(real("k").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
+
+
+OP8_SQL = r"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, coalesce(doc_id, -9223372036854775808) AS k,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT n, array_to_string(w[i : i + 2], ' ') AS s FROM d, unnest(range(1, greatest(len(w), 3) - 1)) t(i) WHERE len(w) > 0),
+sizes AS (SELECT n, count(*) AS size FROM shingles GROUP BY n),
+common AS (SELECT a.n, b.n AS m, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.n <> b.n GROUP BY ALL),
+links AS (SELECT common.n, m FROM common JOIN sizes a ON a.n = common.n JOIN sizes b ON b.n = m WHERE 100 * c >= 85 * (a.size + b.size - c)),
+reached AS (SELECT n, n AS m FROM d UNION SELECT reached.n, links.m FROM reached JOIN links ON links.n = reached.m),
+least AS (SELECT reached.n, min(d.k) AS component FROM reached JOIN d ON d.n = reached.m GROUP BY reached.n)
+SELECT nullif(k, -9223372036854775808) AS doc_id, coalesce(size, 0)::BIGINT AS n_shingles, nullif(component, -9223372036854775808) AS component_id, k = component AS kept
+FROM d JOIN least USING (n) LEFT JOIN sizes USING (n)"""

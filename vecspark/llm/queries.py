@@ -7,12 +7,12 @@ import functools
 from vecspark.llm.bit_sliced import OP3_SQL, op3_top_k
 from vecspark.llm.common import ship_package
 from vecspark.llm.html_extract import op10_html
-from vecspark.llm.minhash import op8_minhash
+from vecspark.llm.minhash import OP8_SQL, op8_minhash
 from vecspark.llm.mixing import OP9_SQL, op9_mixing
 from vecspark.llm.quality import op5_quality
 from vecspark.llm.simhash import op7_simhash
 from vecspark.llm.sentencepiece_bpe import op4_sentencepiece
-from vecspark.llm.substring_dedup import op2_substring
+from vecspark.llm.substring_dedup import OP2_SQL, op2_substring
 from vecspark.llm.token_files import op6_token_files
 from vecspark.llm.toxicity import op1_toxicity
 
@@ -41,6 +41,8 @@ _QUERIES = {
 QUERIES = {name: _shipped(query) for name, query in _QUERIES.items()}
 
 ORACLE_SQL = {
+    "op2_substring": OP2_SQL,
     "op3_top_k": OP3_SQL,
+    "op8_minhash": OP8_SQL,
     "op9_mixing": OP9_SQL,
 }

@@ -371,3 +371,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 def op2_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"))
+
+
+#: Rows without doc_id come first, as there; where several of those share a window, SQL orders them by text, not by its hash.
+OP2_SQL = r"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT n, i, array_to_string(w[i : i + 19], ' ') AS x FROM d, unnest(range(1, len(w) - 18)) t(i)),
+placed AS (SELECT n, i, row_number() OVER (PARTITION BY x ORDER BY n, i) > 1 AS again FROM windows),
+gone AS (SELECT DISTINCT n, i + j AS p FROM placed, range(20) r(j) WHERE again),
+words AS (SELECT n, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT n, count(gone.p) AS removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE gone.p IS NULL) AS body FROM words LEFT JOIN gone USING (n, p) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(removed, 0)::BIGINT AS n_removed, sha256(coalesce(body, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (n)"""
