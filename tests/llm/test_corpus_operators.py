@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -611,3 +612,14 @@ def test_sql_of_near_copies_equals_brute_force():
     duck.executemany("INSERT INTO documents VALUES (?, ?)", rows)
     have = [(key(k), n, key(c)) for k, n, c, _ in duck.execute(minhash.OP8_SQL).fetchall()]
     assert sorted(have) == brute_components(rows, 3, Fraction(85, 100))
+
+
+def test_the_memo_of_words_keeps_its_ids_over_generations(docs, monkeypatch):
+    texts = pa.array([r[1] for r in corpus() if r[1]] * 3)
+    encode = token_files.WordEncoder(token_files.tokenizer_spec()).batch
+    want, offsets = encode(texts)
+    monkeypatch.setattr(token_files, "MEMO_UNITS", 60)
+    encoder = token_files.WordEncoder(token_files.tokenizer_spec())
+    got = [encoder.batch(texts.slice(i, 1))[0] for i in range(len(texts))]
+    assert encoder.old[0] and np.array_equal(np.concatenate(got), want)
+    assert np.array_equal(np.append(0, np.cumsum([g.size for g in got])), offsets)

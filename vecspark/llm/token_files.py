@@ -35,7 +35,7 @@ END_ID = 1
 NULL_KEY = -(2**63)
 BUCKET_KEYS = 65_536
 CONTAINER_BYTES = 4 << 20
-MEMO_UNITS = 1_200_000  # of a worker; about 200 MB
+MEMO_UNITS = 600_000  # of a generation; a worker holds two, some 200 MB
 ENCODE_UNITS = 16_384  # in one call of the library
 CHUNKS = 1 << 24  # containers of a partition at most
 CONTAINERS = "container long, part int, n_docs long, n_tokens long, keys binary, lengths binary, payload binary"
@@ -47,7 +47,10 @@ INDEX = "bucket long, n_keys long, level_bits binary, levels binary, prints bina
 
 
 class WordEncoder:
-    """Encodes batches with a tokenizers file whose pre-tokenizer drops white space; and remembers distinct parts of words."""
+    """Encodes batches with a tokenizers file whose pre-tokenizer drops white space; and remembers distinct parts of words.
+
+    The memo has two generations: a full one becomes the old one, from which a part that comes again moves to the new one.
+    So frequent parts stay, however much text a worker reads."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -62,6 +65,10 @@ class WordEncoder:
         self.edge[1, 2] = self.edge[2, 1] = True
         self.lower = np.arange(256, dtype=np.uint8)
         self.lower[65:91] += 32
+        self.fresh()
+        self.old = self.memo, self.ids, self.at
+
+    def fresh(self) -> None:
         self.memo: dict[bytes, int] = {}
         self.ids, self.at = np.empty(0, np.uint32), np.zeros(1, np.int64)
 
@@ -94,22 +101,29 @@ class WordEncoder:
         return self.ids[ragged(self.at[known], n)], total[np.searchsorted(begins, offsets)]
 
     def lookup(self, units: list[bytes]) -> np.ndarray:
-        """The number of each unit in the memo, which learns the new ones and starts anew when it is full."""
-        if len(self.memo) + len(units) > MEMO_UNITS:
-            self.memo, self.ids, self.at = {}, np.empty(0, np.uint32), np.zeros(1, np.int64)
+        """The number of each of these distinct units in the memo, which learns the new ones."""
+        if self.memo and len(self.memo) + len(units) > MEMO_UNITS:
+            self.old = self.memo, self.ids, self.at
+            self.fresh()
         known = list(map(self.memo.get, units))
         unseen = [i for i, k in enumerate(known) if k is None]
-        new = [units[i] for i in unseen]
-        base = len(self.memo)
-        ids, counts = [self.ids], [np.diff(self.at)]
-        for a in range(0, len(new), ENCODE_UNITS):
+        if not unseen:
+            return np.array(known, np.int64)
+        memo, old_ids, old_at = self.old
+        before = np.array([memo.get(units[i], -1) for i in unseen], np.int64)
+        order = np.argsort(before < 0, kind="stable")  # those of the old generation first
+        moved = before[order[: np.count_nonzero(before >= 0)]]
+        unseen = [unseen[i] for i in order.tolist()]
+        new, base = [units[i] for i in unseen], len(self.memo)
+        n = np.diff(old_at)[moved]
+        ids, counts = [self.ids, old_ids[ragged(old_at[moved], n)]], [np.diff(self.at), n]
+        for a in range(moved.size, len(new), ENCODE_UNITS):
             some = new[a : a + ENCODE_UNITS]
             got = self.tokenizer.encode([u.decode() for u in some], is_pretokenized=True, add_special_tokens=False)
-            self.memo.update(zip(some, range(len(self.memo), len(self.memo) + len(some))))
             ids.append(np.array(got.ids, np.uint32))
             counts.append(np.bincount(np.array(got.word_ids, np.int64), minlength=len(some)))
-        if new:
-            self.ids, self.at = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
+        self.memo.update(zip(new, range(base, base + len(new))))
+        self.ids, self.at = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(counts)))
         for number, i in enumerate(unseen):
             known[i] = base + number
         return np.array(known, np.int64)
