@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecspark.operators import artifact, corpus, flat, ivf, quantize, ranking, reports
+from vecspark.operators import artifact, corpus, flat, ivf, quantize, ranking, reports, timing
 from vecspark.plans import catalogue
 from vecspark.service import Retriever, validate
 from vecspark.sources import readers, writers
@@ -324,3 +324,27 @@ def test_plans_push_down_and_limit_windows(spark):
     plan = catalogue.QUERIES["flat_ip_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "label" not in plan.split("ReadSchema: ")[1].split("\n")[0]
     assert "PushedFilters" in plan
+
+
+def test_timed_batches_and_repeated_runs(spark):
+    calls = []
+
+    def search(queries):
+        calls.append(len(queries))
+        return [q * 2 for q in queries]
+
+    results, timed = timing.timed_batches(search, list(range(10)), 4)
+    assert results == [q * 2 for q in range(10)] and [p for p, _ in timed] == list(range(8)) and calls == [4] * 5 + [2]
+    with pytest.raises(ValueError, match="don't fill"):
+        timing.timed_batches(search, [1, 2], 4)
+    with pytest.raises(ValueError, match="3 items for a batch of 4"):
+        timing.timed_batches(lambda q: q[1:], list(range(8)), 4)
+    rows = {r.batch_size: r for r in timing.stability(spark, search, list(range(20)), (1, 8), 3).collect()}
+    assert {b: (r.runs, r.timed_queries) for b, r in rows.items()} == {1: (3, 20), 8: (3, 16)}
+    assert all(0 < r.p50_p10 <= r.p50_median <= r.p50_p90 and r.qps_median > 0 for r in rows.values())
+
+
+def test_server_latency(spark):
+    rows = spark.createDataFrame([("/search", 3.0, None), ("/batch-search", None, 9.0)], "endpoint string, latency_ms double, latency_ms_total double")
+    got = rows.select(reports.server_latency(F.col("endpoint"), F.col("latency_ms"), F.col("latency_ms_total")).alias("ms")).collect()
+    assert [r.ms for r in got] == [3.0, 9.0]

@@ -27,6 +27,11 @@ def storage(configs: DataFrame) -> DataFrame:
     return out.withColumns({f"{p}_ratio": ratio(f"{p}_bytes") for p in ("payload", "format", "deployment", "serialized")})
 
 
+def server_latency(endpoint, latency_ms, latency_ms_total):
+    """The latency that a response states: that of the query for /search, that of the whole batch otherwise."""
+    return F.when(endpoint == "/search", latency_ms).otherwise(latency_ms_total)
+
+
 def latency_summary(samples: DataFrame) -> DataFrame:
     """Percentiles, means and throughput of request samples by endpoint and batch size."""
     pct = lambda c, p: F.expr(f"percentile({c}, {p})")
