@@ -348,3 +348,40 @@ def test_server_latency(spark):
     rows = spark.createDataFrame([("/search", 3.0, None), ("/batch-search", None, 9.0)], "endpoint string, latency_ms double, latency_ms_total double")
     got = rows.select(reports.server_latency(F.col("endpoint"), F.col("latency_ms"), F.col("latency_ms_total")).alias("ms")).collect()
     assert [r.ms for r in got] == [3.0, 9.0]
+
+
+def test_scores_of_a_block_are_held_in_parts():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    x, q = rng.standard_normal((16_000, 16)), rng.standard_normal((3_000, 16))
+    tracemalloc.start()
+    batches = list(flat._best(np.arange(16_000), x, np.arange(3_000), q, 5, True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20 and sum(b.num_rows for b in batches) == 15_000
+    have = batches[0].to_pydict()["vec_id"][:5]
+    s = x @ q[0]
+    s[0] = -np.inf
+    assert have == np.argsort(-s)[:5].tolist()
+
+
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_copies_of_a_vector_and_repeated_ids(exclude_self):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((3, 4))[rng.integers(0, 3, 900)]
+    ids, q, k = np.arange(900) // 2, rng.standard_normal((6, 4)), 4
+    found = [r for b in flat._best(ids, x, np.arange(6), q, k, exclude_self) for r in b.to_pylist()]
+    for i in range(6):
+        s = flat.sequential(np.repeat(q[i : i + 1], 900, 0), x)
+        want = sorted((-v, j) for v, j in zip(s.tolist(), ids.tolist()) if not (exclude_self and j == i))[:k]
+        assert [(-r["score"], r["vec_id"]) for r in found if r["query_id"] == i] == want
+
+
+def test_bounded_blocks_meet_in_many_groups(vecs, monkeypatch):
+    df, _ = vecs
+    q = asked(df)
+    want = sorted(tuple(r) for r in flat.top_k(q, df, 5, True).collect())
+    for name, value in (("BROADCAST_QUERIES", 5), ("BLOCK_BYTES", 8 * 8 * 20), ("PAIRS", 300), ("SCORE_BYTES", 800)):
+        monkeypatch.setattr(flat, name, value, raising=False)
+    assert sorted(tuple(r) for r in flat.top_k(q, df, 5, True).collect()) == want and len(want) == 600
