@@ -405,3 +405,17 @@ def test_catalogue_judges_by_label(spark):
     from tests.conftest import SF
 
     assert isinstance(catalogue.judgements(spark, SF), ranking.GroupedQrels)
+
+
+def test_lookup_tables_are_held_in_parts(vecs, monkeypatch):
+    df, x = vecs
+    index = ivf.train(df, 6, 4, 8)
+    lists, q = ivf.postings(df, index), asked(df)
+    want = sorted(tuple(r) for r in ivf.search(q, lists, index, 3, 5).collect())
+    monkeypatch.setattr(ivf, "TABLE_BYTES", 4_000)
+    parts = list(ivf.Probes.parts(index, np.arange(120), x, 3, 5))
+    assert len(parts) == 11 and all(p.tables.nbytes <= 4_000 for p in parts)
+    assert np.concatenate([p.ids for p in parts]).tolist() == list(range(120))
+    assert sorted(tuple(r) for r in ivf.search(q, lists, index, 3, 5).collect()) == want
+    monkeypatch.setattr(ivf, "QUERY_BYTES", 5_000)
+    assert sorted(tuple(r) for r in ivf.search(q, lists, index, 3, 5).collect()) == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecspark.operators.flat import _matrix, ranked
+from vecspark.operators.flat import _matrix, blocks, ranked
 from vecspark.operators.quantize import Codebook, pack_rows, train_codebook, unpack_rows
 
 #: Queries are broadcast while their vectors, list scores and lookup tables (m * k doubles each) take no more bytes in a task.
@@ -17,6 +18,8 @@ QUERY_BYTES = 128 << 20
 #: Lists up to so many are named in a filter, which prunes the folders of a saved index.
 NAMED_LISTS = 10_000
 SALT_ROWS = 65_536
+#: Bytes of lookup tables and of hits that a task holds at once.
+TABLE_BYTES = 16 << 20
 
 
 @dataclass
@@ -92,6 +95,14 @@ class Probes:
         base = np.take_along_axis(s, lists, 1) if index.by_residual else np.zeros(lists.shape)
         return cls(ids, lists, base, np.einsum("nmd,mkd->nmk", q.reshape(len(q), m, d), index.book.centroids))
 
+    @classmethod
+    def parts(cls, index: IvfPq, ids: np.ndarray, q: np.ndarray, nprobe: int, k: int) -> Iterator[Probes]:
+        """The same for some queries at a time: their tables, list scores and hits take at most TABLE_BYTES each."""
+        m, width, _ = index.book.centroids.shape
+        step = max(1, TABLE_BYTES // (8 * max(m * width, len(index.coarse), 3 * min(nprobe, len(index.coarse)) * k)))
+        for a in range(0, len(ids), step):
+            yield cls.of(index, ids[a : a + step], q[a : a + step], nprobe)
+
     def best(self, vec_ids: np.ndarray, list_ids: np.ndarray, codes: np.ndarray, k: int) -> pa.Table:
         """The k best of some postings for each query that probes their lists."""
         order = np.argsort(list_ids, kind="stable")
@@ -156,17 +167,17 @@ def search(queries: DataFrame, lists: DataFrame, index: IvfPq, nprobe: int, k: i
         if not asked.num_rows:
             return queries.sparkSession.createDataFrame([], "query_id long, rank long, vec_id long, score double")
         ids, q = asked["query_id"].to_numpy(), _matrix(asked["q"])
-        probed = np.unique(Probes.of(index, ids, q, nprobe).lists)
+        probed = np.unique(np.concatenate([np.unique(p.lists) for p in Probes.parts(index, ids, q, nprobe, k)]))
         if probed.size < min(NAMED_LISTS, len(index.coarse)):
             lists = lists.where(F.col("list_id").isin(probed.tolist()))
         shared = queries.sparkSession.sparkContext.broadcast((index, ids, q))
 
         def run(batches):
             own, ids, q = shared.value
-            asked = Probes.of(own, ids, q, nprobe)
-            for batch in batches:
-                if batch.num_rows:
-                    yield from asked.best(batch.column("vec_id").to_numpy(), batch.column("list_id").to_numpy(), _codes(batch.column("codes"), own), k).to_batches()
+            for t in blocks(batches, SALT_ROWS):
+                vec_ids, list_ids, codes = t["vec_id"].to_numpy(), t["list_id"].to_numpy(), _codes(t["codes"], own)
+                for asked in Probes.parts(own, ids, q, nprobe, k):
+                    yield from asked.best(vec_ids, list_ids, codes, k).to_batches()
 
         return ranked(lists.select("vec_id", "list_id", "codes").mapInArrow(run, SCORED), k)
     shared = queries.sparkSession.sparkContext.broadcast(index)
@@ -182,8 +193,8 @@ def search(queries: DataFrame, lists: DataFrame, index: IvfPq, nprobe: int, k: i
         own = shared.value
         if not left.num_rows or not right.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        asked = Probes.of(own, left["query_id"].to_numpy(), _matrix(left["q"]), nprobe)
-        return asked.best(right["vec_id"].to_numpy(), right["list_id"].to_numpy(), _codes(right["codes"], own), k)
+        vec_ids, list_ids, codes = right["vec_id"].to_numpy(), right["list_id"].to_numpy(), _codes(right["codes"], own)
+        return pa.concat_tables(asked.best(vec_ids, list_ids, codes, k) for asked in Probes.parts(own, left["query_id"].to_numpy(), _matrix(left["q"]), nprobe, k))
 
     keys = ("list_id", "grp", "salt")
     left, right = met.select(*keys, "query_id", "q").groupBy(*keys), dealt.select(*keys, "vec_id", "codes").groupBy(*keys)
