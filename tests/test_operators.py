@@ -419,3 +419,29 @@ def test_lookup_tables_are_held_in_parts(vecs, monkeypatch):
     assert sorted(tuple(r) for r in ivf.search(q, lists, index, 3, 5).collect()) == want
     monkeypatch.setattr(ivf, "QUERY_BYTES", 5_000)
     assert sorted(tuple(r) for r in ivf.search(q, lists, index, 3, 5).collect()) == want
+
+
+def test_scores_equal_but_for_rounding_come_in_the_order_of_the_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    counts = np.array([rng.permutation([3.0, 2, 2, 1, 1, 1, 0, 0]) for _ in range(300)])
+    x = counts / np.sqrt(20.0)
+    embeddings = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, x array<double>")
+    have = sorted((r.query_id, r.rank, r.vec_id) for r in flat.top_k(asked(embeddings.where("vec_id < 20")), embeddings, 10).collect())
+    c = duckdb.connect()
+    c.execute("CREATE TABLE d (vec_id BIGINT, x DOUBLE[])")
+    c.executemany("INSERT INTO d VALUES (?, ?)", [(i, v.tolist()) for i, v in enumerate(x)])
+    from vecspark.plans import oracle
+
+    sql = f"SELECT query_id, rank, vec_id FROM {oracle.topk(queries='(SELECT vec_id AS query_id, x AS q FROM d WHERE vec_id < 20)')}"
+    assert have == sorted(c.execute(sql).fetchall())
+
+
+def test_texts_are_encoded_some_rows_at_a_time(spark, monkeypatch):
+    from vecspark.operators import encoder
+
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"a{i % 5}  B{i % 3}\tc") for i in range(100)], "doc_id long, text string").coalesce(1)
+    want = sorted((r.doc_id, r.x) for r in encoder.hash_encode(rows, "doc_id", "text").collect())
+    monkeypatch.setattr(encoder, "SLICE", 7)
+    assert sorted((r.doc_id, r.x) for r in encoder.hash_encode(rows, "doc_id", "text").collect()) == want and len(want) == 100

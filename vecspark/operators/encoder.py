@@ -18,6 +18,8 @@ from vecspark.functions.vector import EPS
 DIMENSION = 64
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MEMO_WORDS = 200_000
+#: Rows that are encoded at once; their texts are unpacked one by one.
+SLICE = 256
 
 
 def hash_encode(rows: DataFrame, id_column: str, text_column: str, dimension: int = DIMENSION) -> DataFrame:
@@ -27,21 +29,22 @@ def hash_encode(rows: DataFrame, id_column: str, text_column: str, dimension: in
 
     def run(batches):
         memo: dict[str, int] = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            counts = np.zeros((batch.num_rows, dimension))
-            for row, text in enumerate(batch.column("_text").to_pylist()):
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                buckets = []
-                for word in WORD.findall(text):
-                    bucket = memo.get(word)
-                    if bucket is None:
-                        bucket = memo[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dimension
-                    buckets.append(bucket)
-                counts[row] = np.bincount(buckets, minlength=dimension) if buckets else 0
-            x = counts / np.maximum(np.sqrt(np.square(counts).sum(1)), EPS)[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=[id_column, "x"])
+        for whole in batches:
+            for a in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(a, SLICE)
+                counts = np.zeros((batch.num_rows, dimension))
+                for row, text in enumerate(batch.column("_text")):
+                    if len(memo) > MEMO_WORDS:
+                        memo.clear()
+                    buckets = []
+                    for match in WORD.finditer(text.as_py()):
+                        word = match.group()
+                        bucket = memo.get(word)
+                        if bucket is None:
+                            bucket = memo[word] = int.from_bytes(hashlib.md5(word.encode()).digest()[:4], "big") % dimension
+                        buckets.append(bucket)
+                    counts[row] = np.bincount(buckets, minlength=dimension) if buckets else 0
+                x = counts / np.maximum(np.sqrt(np.square(counts).sum(1)), EPS)[:, None]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(x), pa.list_(pa.float64()))], names=[id_column, "x"])
 
     return rows.mapInArrow(run, schema)
